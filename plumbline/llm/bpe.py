@@ -49,6 +49,7 @@ class WordEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._limit = memo_words
+        self.vocabulary = self._tokenizer.get_vocab_size()
         self._inner: dict[str, bytes] = {}  # word -> ids of a space and the word
         self._first: dict[str, bytes] = {}  # piece at a line's start -> its ids
         newline = self._ids("\n")

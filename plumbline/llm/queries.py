@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents
+from plumbline.llm.common import documents, written
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import bpe, sstable
+
+    docs = documents(spark, sf_dir)
+    shards = written(sstable.write(docs, sstable.shard_path(docs), bpe.default_path()), "shards")
+    return sstable.read(shards)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm import bpe, packing
+
+    return packing.pack(documents(spark, sf_dir), bpe.default_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_quality_rules, op8_pii)
+    f.__name__: f for f in (op2_sstable, op6_quality_rules, op7_packing, op8_pii)
 }
