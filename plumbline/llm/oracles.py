@@ -2,4 +2,83 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from plumbline.llm.quality_rules import LIMITS, STOP_WORDS
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+_RULES = " OR ".join(
+    test
+    for x in LIMITS
+    for test in ([f"{x.measure} < {x.least}"] if x.least is not None else []) + ([f"{x.measure} > {x.most}"] if x.most is not None else [])
+)
+
+#: Judged documents, as a chain of common table expressions that ends in ``judged``.
+JUDGED = rf"""
+raw AS (SELECT *, coalesce(text, '') AS t, {_WORDS} AS ws, row_number() OVER () AS rid FROM documents),
+windows AS (SELECT rid, i, {{'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]}} AS g FROM raw, unnest(range(1, len(ws) - 1)) AS r(i)),
+again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, unnest([0, 1, 2]) AS s(k) GROUP BY rid),
+counted AS (
+  SELECT raw.*, len(ws)::BIGINT AS n_words_, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+    (length(t) - length(regexp_replace(t, '[!?;:]+', '', 'g')))::BIGINT AS n_marks,
+    (length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')))::BIGINT AS n_upper,
+    len(list_filter(ws, lambda w: lower(w) IN ({_STOPS})))::BIGINT AS n_stop_words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM raw LEFT JOIN covered USING (rid)
+),
+ratios AS (
+  SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words_ AS n_words,
+    CASE WHEN n_words_ = 0 THEN 0.0 ELSE word_chars / n_words_ END AS mean_word_chars,
+    CASE WHEN n_words_ = 0 THEN 0.0 ELSE n_symbols / n_words_ END AS symbol_ratio,
+    CASE WHEN n_words_ = 0 THEN 0.0 ELSE n_marks / n_words_ END AS mark_ratio,
+    CASE WHEN word_chars = 0 THEN 0.0 ELSE n_upper / word_chars END AS upper_ratio,
+    CASE WHEN n_words_ = 0 THEN 0.0 ELSE n_stop_words / n_words_ END AS stop_ratio,
+    CASE WHEN len(lines) = 0 THEN 0.0 ELSE (len(lines) - len(list_distinct(lines))) / len(lines) END AS dup_line_ratio,
+    CASE WHEN n_words_ = 0 THEN 0.0 ELSE n_repeat_words / n_words_ END AS repeat_word_ratio
+  FROM counted
+),
+judged AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({_RULES}) AS kept
+  FROM ratios
+)"""
+
+_FAILED = ", ".join(
+    "CASE WHEN " + " OR ".join(([f"{x.measure} < {x.least}"] if x.least is not None else []) + ([f"{x.measure} > {x.most}"] if x.most is not None else [])) + f" THEN '{x.measure}' END" for x in LIMITS
+)
+
+_MIX = r"""
+WITH drawn AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+      / greatest(CASE WHEN length(coalesce(text, '')) = 0 THEN 0.1
+        ELSE 0.1 + 0.9 * length(regexp_replace(text, '[^\p{L}\x20\x09-\x0D]+', '', 'g')) / length(text) END, 1e-9) AS key
+  FROM documents
+),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM drawn GROUP BY source),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS w, 3.0 * source_size AS cap FROM sizes),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+),
+targets AS (
+  SELECT source, source_size, round(least(cap, max(CASE WHEN level <= cap / w THEN level END) OVER () * w)::DOUBLE, 6) AS target FROM levels
+),
+planned AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(floor(target / source_size), 3)::BIGINT END AS epochs FROM targets
+),
+ordered AS (
+  SELECT d.*, p.source_size, p.target, p.epochs, greatest(p.target - p.epochs * p.source_size, 0) AS rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM drawn d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM ordered
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_mixing": _MIX,
+    "op6_quality_rules": f"WITH {JUDGED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, array_to_string(list_filter([{_FAILED}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM judged",
+}

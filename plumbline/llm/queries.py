@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import documents, written
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.matroska import store
+
+    return store(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.quality_rules import judge
 
-    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +59,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sstable, op6_quality_rules, op7_packing, op8_pii)
+    f.__name__: f for f in (op2_sstable, op3_mixing, op5_matroska, op6_quality_rules, op7_packing, op8_pii)
 }
