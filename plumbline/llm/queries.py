@@ -58,6 +58,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), bpe.default_path())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sstable, op3_mixing, op5_matroska, op6_quality_rules, op7_packing, op8_pii)
+    f.__name__: f for f in (op2_sstable, op3_mixing, op5_matroska, op6_quality_rules, op7_packing, op8_pii, op10_near_duplicates)
 }
