@@ -78,7 +78,43 @@ ordered AS (
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM ordered
 """
 
+_CHAT = r"""
+WITH t AS (
+  SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS k
+  FROM conversations
+),
+c AS (
+  SELECT t.*, count(*) OVER (PARTITION BY conv_id) AS n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
+    (length(role) + 5)::VARCHAR || ':0,' || (length(text) + 8)::VARCHAR || CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS runs
+  FROM t
+),
+pairs AS (
+  SELECT pair_id, max(CASE WHEN side = 0 THEN n END) AS nc, max(CASE WHEN side = 1 THEN n END) AS nr FROM c GROUP BY pair_id
+),
+first_diff AS (
+  SELECT a.pair_id, min(a.k) AS k FROM c a JOIN c b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side = 0 AND b.side = 1
+  WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id
+),
+cut AS (
+  SELECT p.pair_id, nc, nr, coalesce(f.k - 1, least(nc, nr)) AS lcp FROM pairs p LEFT JOIN first_diff f USING (pair_id)
+),
+split_at AS (
+  SELECT *, CASE WHEN nc IS NULL OR nr IS NULL THEN 'unpaired' WHEN nc = nr AND lcp = nc THEN 'equal' WHEN lcp = least(nc, nr) THEN 'prefix' ELSE 'paired' END AS status,
+    CASE WHEN nc IS NULL OR nr IS NULL THEN 0 WHEN NOT (nc = nr AND lcp = nc) AND lcp = least(nc, nr) AND lcp > 0 THEN lcp - 1 ELSE lcp END AS p
+  FROM cut
+)
+SELECT split_at.pair_id::BIGINT AS pair_id, status, p::BIGINT AS prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY k) FILTER (WHERE side = 0 AND k <= p), '') AS prompt,
+  CASE WHEN nc IS NOT NULL THEN coalesce(string_agg(shown, '' ORDER BY k) FILTER (WHERE side = 0 AND k > p), '') END AS chosen,
+  CASE WHEN nc IS NOT NULL THEN coalesce(string_agg(runs, ',' ORDER BY k) FILTER (WHERE side = 0 AND k > p), '') END AS chosen_mask,
+  CASE WHEN nr IS NOT NULL THEN coalesce(string_agg(shown, '' ORDER BY k) FILTER (WHERE side = 1 AND k > p), '') END AS rejected,
+  CASE WHEN nr IS NOT NULL THEN coalesce(string_agg(runs, ',' ORDER BY k) FILTER (WHERE side = 1 AND k > p), '') END AS rejected_mask
+FROM split_at JOIN c USING (pair_id) GROUP BY split_at.pair_id, status, p, nc, nr
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_preferences": _CHAT,
     "op3_mixing": _MIX,
     "op6_quality_rules": f"WITH {JUDGED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, array_to_string(list_filter([{_FAILED}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM judged",
 }

@@ -44,6 +44,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.chat import mask_text, pair_neighbours, preferences
+
+    made = preferences(pair_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return made.select("pair_id", "status", "prompt_turns", "prompt", "chosen", mask_text(F.col("chosen_mask")).alias("chosen_mask"), "rejected", mask_text(F.col("rejected_mask")).alias("rejected_mask"))
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm import bpe, sstable
 
@@ -58,6 +65,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), bpe.default_path())
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.hmm import score
+
+    return score(documents(spark, sf_dir))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.near_dup import near_duplicates
 
@@ -65,5 +78,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sstable, op3_mixing, op5_matroska, op6_quality_rules, op7_packing, op8_pii, op10_near_duplicates)
+    f.__name__: f for f in (op1_preferences, op2_sstable, op3_mixing, op5_matroska, op6_quality_rules, op7_packing, op8_pii, op9_hmm, op10_near_duplicates)
 }
