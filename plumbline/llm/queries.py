@@ -16,6 +16,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.site_quality import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.matroska import store
 
@@ -78,5 +84,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_preferences, op2_sstable, op3_mixing, op5_matroska, op6_quality_rules, op7_packing, op8_pii, op9_hmm, op10_near_duplicates)
+    f.__name__: f for f in (op1_preferences, op2_sstable, op3_mixing, op4_site_quality, op5_matroska, op6_quality_rules, op7_packing, op8_pii, op9_hmm, op10_near_duplicates)
 }
