@@ -1,12 +1,16 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes what the one before kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import pii, quality_rules
+from plumbline.llm import bpe, mixing, near_dup, packing, pii, quality_rules
 from plumbline.llm.common import documents, written
 
 
@@ -15,17 +19,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest id."""
+    dropped = near_dup.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id")
+    return docs.join(written(dropped.distinct(), "dropped"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind."""
-    return pii.redact(docs)
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their places in the training sequences."""
+    return packing.pack(docs, bpe.default_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
     ("private", private),
+    ("mixed", mixed),
+    ("packed", packed),
 ]
 
-#: Near-duplicate search and packing have no SQL form; tests hold them against brute force.
+#: Tokens and similar sets have no SQL form; the tests hold the pipeline against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -63,64 +63,91 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return found.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the columns named by ``carry``: one row per
-    document.  ``taken`` is its size times the epochs of its source, once more if sampled."""
+def _drawn(seed: str, weight: Column | None) -> dict[str, Column]:
+    """Each document's source, size, key and buckets, from the row alone."""
     w = F.greatest(weight if weight is not None else quality_weight(F.col("text")), F.lit(1e-9))
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    drawn = written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            n_words_of(F.col("text")).alias("size"),
-            (-F.log(u) / w).alias("key"),
-            *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry],
-        ),
-        "drawn",
-    )
+    return {
+        "d_id": F.col("doc_id").cast("long"),
+        "d_source": F.col("source").cast("string"),
+        "d_size": n_words_of(F.col("text")),
+        "d_key": -F.log(uniform(F.lit(seed), F.col("doc_id"))) / w,
+    }
+
+
+def _bucketed(drawn: DataFrame) -> DataFrame:
     # a monotone map of keys to (0, 1): about even for weights near 1
-    place = F.lit(1.0) - F.exp(-F.col("key"))
+    place = F.lit(1.0) - F.exp(-F.col("d_key"))
     fine = F.least(F.floor(place * (BUCKETS * BUCKETS)).cast("long"), F.lit(BUCKETS * BUCKETS - 1))
-    drawn = drawn.withColumns({"b1": F.floor(fine / BUCKETS).cast("int"), "b2": (fine % BUCKETS).cast("int")})
-    sizes = drawn.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return drawn.withColumns({"b1": F.floor(fine / BUCKETS).cast("int"), "b2": (fine % BUCKETS).cast("int")})
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def rules(drawn: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS) -> DataFrame:
+    """One row per source: source_size, target, epochs, and where its sample ends."""
+    sizes = drawn.groupBy(F.col("d_source").alias("source")).agg(F.sum("d_size").alias("source_size"))
     plan = targets(sizes, weights, share, most)
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).cast("long")
     plan = written(plan.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))), "mix-plan")
-
     few = plan.count() <= BROADCAST_SOURCES
     small = lambda df: F.broadcast(df) if few else df
 
-    def straddled(counts: DataFrame, rest: DataFrame, bucket: str) -> DataFrame:
-        """By source: the bucket in which the running sum passes the rest, and the sum before it."""
-        ordered = Window.partitionBy("source").orderBy(bucket)
-        sums = counts.withColumn("upto", F.sum("n").over(ordered))
-        j = sums.alias("a").join(small(rest.alias("b")), F.col("a.source").eqNullSafe(F.col("b.source")))
-        passed = j.where(F.col("a.upto") > F.col("b.rest"))
-        return passed.groupBy(F.col("b.source").alias("source")).agg(F.min(F.struct(F.col(f"a.{bucket}").alias("b"), (F.col("b.rest") - (F.col("a.upto") - F.col("a.n"))).alias("rest"))).alias("x")).select("source", F.col("x.b").alias("cut"), F.col("x.rest").alias("rest"))
-
-    first = straddled(drawn.groupBy("source", "b1").agg(F.sum("size").alias("n")), plan.select("source", "rest"), "b1")
-    first = written(first, "mix-cut")
-    inner = drawn.alias("a").join(small(first.alias("f")), F.col("a.source").eqNullSafe(F.col("f.source")) & (F.col("a.b1") == F.col("f.cut"))).select("a.*")
-    second = written(straddled(inner.groupBy("source", "b2").agg(F.sum("size").alias("n")), first.select("source", "rest"), "b2"), "mix-cut-fine")
+    def straddled(rows: DataFrame, rest: DataFrame, bucket: str) -> DataFrame:
+        """By source: the bucket in which the running sum passes the rest, and what is left of it there."""
+        counts = rows.groupBy(F.col("d_source").alias("s"), F.col(bucket).alias("b")).agg(F.sum("d_size").alias("n"))
+        sums = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("b")))
+        passed = sums.join(small(rest), _same("s", "source")).where("upto > rest")
+        first = F.min(F.struct("b", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("x")
+        return passed.groupBy("source").agg(first).select("source", F.col("x.b").alias("cut"), F.col("x.rest").alias("rest"))
+
+    def within(rows: DataFrame, cuts: DataFrame, bucket: str) -> DataFrame:
+        found = small(cuts.select(F.col("source").alias("__s"), F.col("cut").alias("__b"), "rest"))
+        return rows.join(found, _same("d_source", "__s") & (F.col(bucket) == F.col("__b"))).drop("__s", "__b")
+
+    first = written(straddled(drawn, plan.select("source", "rest"), "b1"), "mix-cut")
+    inner = within(drawn, first, "b1").drop("rest")
+    second = written(straddled(inner, first.select("source", "rest"), "b2"), "mix-cut-fine")
     # the documents of the one fine bucket per source, in exact order
-    last = inner.alias("a").join(small(second.alias("s")), F.col("a.source").eqNullSafe(F.col("s.source")) & (F.col("a.b2") == F.col("s.cut"))).select("a.doc_id", "a.source", "a.size", "a.key", F.col("s.rest").alias("rest"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    edge = last.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("edge"))
-    rules = (
-        plan.alias("p")
-        .join(first.alias("f"), F.col("p.source").eqNullSafe(F.col("f.source")), "left")
-        .join(second.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")), "left")
-        .join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
-        .select("p.source", "p.source_size", "p.target", "p.epochs", F.col("f.cut").alias("cut1"), F.col("s.cut").alias("cut2"), "e.edge")
-    )
-    j = drawn.alias("a").join(small(written(rules, "mix-rules").alias("r")), F.col("a.source").eqNullSafe(F.col("r.source")))
-    me = F.struct(F.col("a.key").alias("key"), F.col("a.doc_id").alias("doc_id"), F.col("a.size").alias("size"))
-    b1, b2, cut1, cut2 = F.col("a.b1"), F.col("a.b2"), F.col("r.cut1"), F.col("r.cut2")
+    last = within(inner, second, "b2")
+    upto = F.sum("d_size").over(Window.partitionBy("d_source").orderBy("d_key", "d_id", "d_size").rowsBetween(Window.unboundedPreceding, 0))
+    edge = last.withColumn("upto", upto).where("upto <= rest").groupBy(F.col("d_source").alias("source")).agg(F.max(F.struct("d_key", "d_id", "d_size")).alias("edge"))
+    out = plan.select("source", "source_size", "target", "epochs")
+    for part in (first.select("source", F.col("cut").alias("cut1")), second.select("source", F.col("cut").alias("cut2")), edge):
+        out = out.join(part.withColumnRenamed("source", "__s"), _same("source", "__s"), "left").drop("__s")
+    return written(out, "mix-rules")
+
+
+def _with_times(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """The rows with source_size, target and ``times``: how often each is taken."""
+    by_source = by_source.withColumnRenamed("source", "__source")
+    if by_source.count() <= BROADCAST_SOURCES:
+        by_source = F.broadcast(by_source)
+    me = F.struct("d_key", "d_id", "d_size")
     sampled = (
-        F.when(cut1.isNull(), F.lit(False))
-        .when(b1 != cut1, b1 < cut1)
-        .when(cut2.isNull() | (b2 != cut2), F.coalesce(b2 < cut2, F.lit(False)))
-        .otherwise(F.coalesce(me <= F.col("r.edge"), F.lit(False)))
+        F.when(F.col("cut1").isNull(), F.lit(False))
+        .when(F.col("b1") != F.col("cut1"), F.col("b1") < F.col("cut1"))
+        .when(F.col("cut2").isNull() | (F.col("b2") != F.col("cut2")), F.coalesce(F.col("b2") < F.col("cut2"), F.lit(False)))
+        .otherwise(F.coalesce(me <= F.col("edge"), F.lit(False)))
     )
-    times = F.col("r.epochs") + sampled.cast("long")
-    return j.select("a.doc_id", "a.size", "r.source_size", "r.target", (F.col("a.size") * times).alias("taken"), times.alias("times"), *[F.col(f"a.c_{c}").alias(c) for c in carry])
+    return rows.join(by_source, _same("d_source", "__source")).withColumn("times", F.col("epochs") + sampled.cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken: one row per document.  ``taken`` is its size
+    times the epochs of its source, once more if sampled."""
+    drawn = _bucketed(written(docs.select(*[v.alias(k) for k, v in _drawn(seed, weight).items()]), "drawn"))
+    found = _with_times(drawn, rules(drawn, weights, share, most))
+    return found.select(F.col("d_id").alias("doc_id"), F.col("d_size").alias("size"), "source_size", "target", (F.col("d_size") * F.col("times")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+    """The documents themselves, each as often as it is taken, with the input's columns.  Texts
+    are not shuffled: the small table of rules meets each row where it is."""
+    own = _drawn(seed, weight)
+    drawn = _bucketed(written(docs.select(*[v.alias(k) for k, v in own.items()]), "drawn"))
+    by_source = rules(drawn, weights, share, most)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[v.alias(k) for k, v in own.items()])
+    found = _with_times(_bucketed(held), by_source).where("times > 0")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("__row.*")

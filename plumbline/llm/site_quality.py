@@ -1,7 +1,9 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence and its site's record.
 
-Evidence is a log likelihood ratio, from the words and shape of the text, fitted on at most
-SAMPLE labelled rows (the first by a hash of their id; labels beyond that are not needed).
+Evidence is a log likelihood ratio, from the words and shape of the text: telling words are
+weighed one by one, and a logistic regression over their sum and the binned shape corrects
+for words that tell the same.  Both are fitted on at most SAMPLE labelled rows (the first by
+a hash of their id; labels beyond that are not needed).
 Over all documents the evidence gives soft counts by host (``source``) and path (``source``
 and ``lang``), combined before the shuffle.  A host's rate is shrunk to the global rate and
 a path's to its host's, the sparser the more; how much is found from the rates' spread over
@@ -30,7 +32,7 @@ SAMPLE = 20_000
 BUCKETS = 1 << 18
 WORD_FEATURES = 512
 TARGETS = ("quality", "toxic")
-SHAPES = 4
+SHAPES = 6
 BINS = 12
 #: Rates of hosts and paths are known from so many rows at least before they count at all.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e6
@@ -49,11 +51,15 @@ def features(text: str | None) -> tuple[set[bytes], list[int]]:
     size = max(1, len(raw))
     symbols = (size - len(raw.translate(None, _SYMBOLS))) / size if raw else 0.0
     upper = (size - len(raw.translate(None, _UPPER))) / size if raw else 0.0
+    exclaimed = raw.count(b"!!") / n
+    longest = max((len(w) for w in distinct), default=0)
     bins = [
         min(BINS - 1, int(len(distinct) / n * BINS)),
-        min(BINS - 1, int(symbols * 60)),
+        min(BINS - 1, int(symbols * 120)),
         min(BINS - 1, int(upper * 24)),
         min(BINS - 1, int(math.log2(n + 1))),
+        min(BINS - 1, int(exclaimed * 24)),
+        min(BINS - 1, longest // 4),
     ]
     return distinct, bins
 
@@ -64,22 +70,45 @@ def _bucket(word: bytes) -> int:
 
 @dataclass
 class Evidence:
-    """Log likelihood ratios of a target being 1, by word bucket and by shape and bin."""
+    """Log likelihood ratios of a target being 1: of word buckets, and the regression's weights
+    over one column per shape and bin, the word sums of all targets, and a constant."""
 
     prior: dict[str, float] = field(default_factory=dict)
     words: dict[int, tuple[float, ...]] = field(default_factory=dict)
-    shapes: np.ndarray = field(default_factory=lambda: np.zeros((len(TARGETS), SHAPES, BINS)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((len(TARGETS), COLUMNS)))
 
-    def __call__(self, text: str | None) -> list[float]:
+    def row(self, text: str | None) -> tuple[list[int], list[float]]:
+        """The set columns of a text, and its word sums (held within +-WORD_BOUND)."""
         distinct, bins = features(text)
-        out = [float(sum(self.shapes[t, k, b] for k, b in enumerate(bins))) for t in range(len(TARGETS))]
+        sums = [0.0] * len(TARGETS)
         get = self.words.get
         for w in distinct:
             hit = get(zlib.crc32(w) % BUCKETS)
             if hit is not None:
                 for t, x in enumerate(hit):
-                    out[t] += x
-        return out
+                    sums[t] += x
+        return [k * BINS + b for k, b in enumerate(bins)], [max(-WORD_BOUND, min(WORD_BOUND, x)) for x in sums]
+
+    def __call__(self, text: str | None) -> list[float]:
+        at, sums = self.row(text)
+        return [float(w[at].sum() + w[SHAPES * BINS : -1] @ sums + w[-1]) for w in self.weights]
+
+
+WORD_BOUND = 20.0
+COLUMNS = SHAPES * BINS + len(TARGETS) + 1
+
+
+def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton steps with a ridge."""
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (y - p) - ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
@@ -94,16 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros((BUCKETS, 4), np.int64)  # by 2 * quality + toxic
-        shapes = np.zeros((SHAPES * BINS, 4), np.int64)
         total = np.zeros((1, 4), np.int64)
         for batch in batches:
             for text, q, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 k = 2 * (q > 0) + (x > 0)
-                distinct, bins = features(text)
-                words[list({_bucket(w) for w in distinct}), k] += 1
-                shapes[[i * BINS + b for i, b in enumerate(bins)], k] += 1
+                words[list({_bucket(w) for w in features(text)[0]}), k] += 1
                 total[0, k] += 1
-        for kind, a in enumerate((words, shapes, total)):
+        for kind, a in enumerate((words, total)):
             seen = np.flatnonzero(a.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), kind, np.int32)), pa.array(seen.astype(np.int32)), *[pa.array(a[seen, j]) for j in range(4)]], ["kind", "at", "n0", "n1", "n2", "n3"])
 
@@ -112,9 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     if not len(rest):
         return Evidence(dict.fromkeys(TARGETS, 0.5))
     cells = ["n0", "n1", "n2", "n3"]
-    total = rest[rest["kind"] == 2][cells].to_numpy(float).sum(axis=0)
+    total = rest[rest["kind"] == 1][cells].to_numpy(float).sum(axis=0)
     sides = {"quality": ([2, 3], [0, 1]), "toxic": ([1, 3], [0, 2])}
-    out = Evidence(shapes=np.zeros((len(TARGETS), SHAPES, BINS)))
+    out = Evidence()
     words: dict[int, list[float]] = {}
     for t, target in enumerate(TARGETS):
         yes, no = sides[target]
@@ -122,11 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
         out.prior[target] = (n1 + 1) / (n1 + n0 + 2)
         if not n1 or not n0:
             continue
-        own = rest[rest["kind"] == 1]
-        c1, c0 = np.zeros(SHAPES * BINS), np.zeros(SHAPES * BINS)
-        c1[own["at"]] = own[cells].to_numpy(float)[:, yes].sum(axis=1)
-        c0[own["at"]] = own[cells].to_numpy(float)[:, no].sum(axis=1)
-        out.shapes[t] = np.log((c1 + 1) / (n1 + BINS) / ((c0 + 1) / (n0 + BINS))).reshape(SHAPES, BINS)
         a = sum(F.col(cells[j]) for j in yes[1:]) + F.col(cells[yes[0]])
         b = sum(F.col(cells[j]) for j in no[1:]) + F.col(cells[no[0]])
         p, q = a / F.lit(float(n1)), b / F.lit(float(n0))
@@ -138,6 +159,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
             if r["z"] > 8:
                 words.setdefault(r["at"], [0.0] * len(TARGETS))[t] = math.log((r["a"] + 0.5) / (n1 + 1) / ((r["b"] + 0.5) / (n0 + 1)))
     out.words = {k: tuple(v) for k, v in words.items()}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [out.row(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["quality", "toxic", "at", "sums"])
+
+    seen = labelled.mapInArrow(rows, "quality int, toxic int, at array<int>, sums array<double>").toPandas()  # at most ``sample`` labels' rows
+    x = np.zeros((len(seen), COLUMNS))
+    x[np.arange(len(seen))[:, None], np.stack(seen["at"].to_numpy())] = 1
+    x[:, SHAPES * BINS : -1] = np.stack(seen["sums"].to_numpy())
+    x[:, -1] = 1
+    for t, target in enumerate(TARGETS):
+        y = (seen[target].to_numpy() > 0).astype(float)
+        if 0 < y.sum() < len(y):
+            out.weights[t] = regress(x, y)
+            out.weights[t, -1] -= _plain_logit(out.prior[target])
     return out
 
 
