@@ -9,9 +9,10 @@ chance (1 - (1 - p) ** SKETCHES) ** 2, 0.9998 at a similarity of 0.8 and more ab
 2.  A key can only be shared if both its sketches are, so sketches that one class alone has
     are dropped before any key is formed.
 3.  Classes in a bucket are compared with a few pivots of it, not with each other, and exact
-    links join classes into components.  Only in buckets that then still hold several
-    components are the other pairs looked at: those of different components, whose sketch
-    bits do not rule a link out (six standard deviations).
+    links join classes into components.  Only where a bucket then still holds several
+    components are its other pairs looked at: those of different components that share one of
+    their rarest shingles and whose sketch bits do not rule a link out (six standard
+    deviations).
 4.  Every link is confirmed on the full shingle sets, read from the texts again.
 
 Keys that many documents share are counted with a combine before the shuffle and joined to
@@ -161,6 +162,49 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
 
 
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, label, outside, and the full shingle set, from the text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                block = batch.slice(at, 500)
+                sets = [shingle_set(x, width).view(np.int64) for x in block.column(3).to_pylist()]
+                edges = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.ListArray.from_arrays(edges, np.concatenate(sets))], ["doc_id", "label", "outside", "shingles"])
+
+    return docs.select("doc_id", "label", "outside", "text").mapInArrow(rows, "doc_id long, label long, outside boolean, shingles array<long>")
+
+
+def _prefix_pairs(inside: DataFrame, texts: DataFrame, bits: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that may still link, at least one of
+    them outside its bucket's largest component.
+
+    Two sets can only be that similar if they share a shingle among the n - ceil(n * percent
+    / 100) + 1 rarest of either.  Shingles that one document alone has fill places of that
+    prefix without ever matching, so most documents of a loose group drop out here; so do
+    pairs whose first shared shingle comes too late in either order."""
+    sets = written(_sets(inside.join(texts, "doc_id"), width), "open-sets")
+    n = F.size("shingles")
+    each = sets.select("doc_id", F.explode("shingles").alias("s"))
+    often = written(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "open-frequencies")
+    ranked = each.join(often, "s").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("r"))  # at most the document's own set
+    left = (n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1) - (n - F.size("r"))
+    prefixes = sets.join(ranked, "doc_id").withColumn("left", left).where("left > 0")
+    # places count the shingles that the document has alone: those are the rarest
+    prefixes = prefixes.select("doc_id", "label", "outside", n.alias("n"), (n - F.size("r")).alias("alone"), F.posexplode(F.slice("r.s", 1, F.col("left"))).alias("k", "s"))
+    prefixes = prefixes.select("doc_id", "label", "outside", "n", (F.col("alone") + F.col("k") + 1).alias("at"), "s")
+    prefixes = written(prefixes.join(bits, "doc_id"), "prefixes")
+    x, y = prefixes.where("outside").alias("x"), prefixes.alias("y")
+    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & _may_link(F.col("x.bits"), F.col("y.bits"), percent)
+    # the first shingle that both have leaves too little after it for the overlap needed
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * (percent / (100.0 + percent)) - 1e-9)
+    fits = fits & (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= overlap)
+    once = ~F.col("y.outside") | (F.col("x.doc_id") < F.col("y.doc_id"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & fits)
+    return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     known = docs.where("doc_id IS NOT NULL")
@@ -211,10 +255,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     by_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     major = written(by_label.join(open_keys, "key", "left_semi").groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major")), "open-buckets")
-    inside = written(placed.join(major, "key").join(bits, "doc_id"), "open-members")
-    x, y = inside.where("label <> major").alias("x"), inside.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.major")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _may_link(F.col("x.bits"), F.col("y.bits"), percent))
-    cross = cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    inside = placed.join(major, "key").groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("major")).alias("outside"))
+    cross = _prefix_pairs(written(inside, "open-members"), texts, bits, width, percent)
     more = written(confirmed(written(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), texts, width, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
