@@ -1,11 +1,12 @@
-"""Byte-level BPE with a bounded memo of words.
-
-A byte-level pre-tokenizer always starts a new pre-token at a space, and around a
-lone newline, that a non-blank follows; letters followed by a full stop or comma
-also end one.  A text can be cut there and its pieces encoded one by one without
-changing a single id.  Words repeat far more often than texts, which makes one
-dictionary lookup per word the common case; the tokenizers library encodes each
-word not seen yet, all new ones of a block as one text.
+"""Byte-level BPE with a bounded memo of pieces.
+
+A byte-level pre-tokenizer ends a pre-token at every blank: of a run of blanks before a
+non-blank all but the last make one pre-token, and the last is its own, or leads the word if
+it is a space.  So a text parts into words (with the space that leads them), and runs of
+blanks, which are encoded one by one without changing a single id.  Pieces repeat far more
+often than texts: a block of texts is parted and its distinct pieces are numbered in native
+code, the memo gives the ids of each, the tokenizers library encodes those not seen yet, and
+ids are gathered by arrays.
 """
 
 from __future__ import annotations
@@ -16,13 +17,33 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO_WORDS = 900_000
-BLOCK_WORDS = 150_000
+MEMO_PIECES = 900_000
+MEMO_CHARS = 24_000_000
+BLOCK_CHARS = 4_000_000
 DEFAULT_FILE = "byte_bpe_50k.json"
 ID_TYPE = np.dtype("<u4")
 
-_CUT = re.compile(r" (?=\S)")
+#: The characters with Unicode's White_Space property.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+_PIECE = re.compile(f"[{SPACES}]+(?![^{SPACES}])| ?[^{SPACES}]+|[{SPACES}]")
+#: Words (a space may lead them) of letters that all versions of Unicode know as letters.
+_PLAIN = re.compile("\u0020?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f]+")
+_MARKS = (".", ",")
+_MARK = "\x00"  # parts pieces; texts that hold it go by the pattern
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the
+    characters from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 def default_path() -> str:
@@ -31,31 +52,35 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
-def is_plain(text: str) -> bool:
-    """Whether every blank of the text is one space or one newline between two non-blanks."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
-        return False
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+def pieces_of(text: str) -> list[str]:
+    return _PIECE.findall(text)
 
 
 class WordEncoder:
-    """Encodes texts to ids; remembers at most ``memo_words`` words."""
+    """Encodes texts to ids; remembers at most ``memo_pieces`` pieces.
+
+    Strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._limit = memo_words
+        self._limit = memo_pieces
         self.vocabulary = self._tokenizer.get_vocab_size()
-        self._inner: dict[str, bytes] = {}  # word -> ids of a space and the word
-        self._first: dict[str, bytes] = {}  # piece at a line's start -> its ids
-        newline = self._ids("\n")
-        self._newline = newline if len(newline) == 1 else None
-        self._newline_bytes = newline.tobytes()
-        self._marks = {m: self._ids(m).tobytes() for m in ".,"}
+        self._newline = self._ids("\n")
+        if len(self._newline) != 1:
+            raise ValueError("the tokenizer has no id of its own for a newline")
+        self._marks = {m: self._ids(m) for m in _MARKS}
+        self._model = Tokenizer(self._tokenizer.model)
+        self._model.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[ord("\n")], "isolated")
+        self._known: dict[str, int] = {}  # piece -> its number
+        self._chars = 0
+        self._ids_held = np.empty(1 << 16, ID_TYPE)  # ids of all pieces, one after the other
+        self._ends = np.zeros(1 << 16, np.int64)  # by number + 1: where its ids end
+        self._odd = np.zeros(1 << 16, bool)  # by number: not a piece if cut at spaces and newlines only
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=ID_TYPE)
@@ -68,89 +93,131 @@ class WordEncoder:
         for text in texts:
             block.append(text or "")
             held += len(block[-1])
-            if held > 6 * BLOCK_WORDS:
+            if held > BLOCK_CHARS:
                 out += self._block(block)
                 block, held = [], 0
         return out + self._block(block)
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        inner, first = self._inner, self._first
-        cut: list[list[list[str]] | None] = []  # text -> line -> words
-        found: list[list[list[bytes | None]] | None] = []
-        new_inner: set[str] = set()
-        new_first: set[str] = set()
-        for text in texts:
-            if self._newline is None or not is_plain(text):
-                cut.append(None)
-                found.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            got = []
-            for words in lines:
-                ids = list(map(inner.get, words))
-                ids[0] = first.get(words[0])
-                if None in ids:
-                    if ids[0] is None:
-                        new_first.add(words[0])
-                    new_inner.update(w for w, x in zip(islice(words, 1, None), islice(ids, 1, None), strict=True) if x is None)
-                got.append(ids)
-            cut.append(lines)
-            found.append(got)
-        if new_inner:
-            self._learn(self._inner, new_inner, " ")
-        if new_first:
-            self._learn(self._first, new_first, "")
-        inner, first = self._inner, self._first
-        out = []
-        for text, lines, got in zip(texts, cut, found, strict=True):
-            if lines is None or got is None:
-                out.append(self._loose(text))
-                continue
-            parts = []
-            for words, ids in zip(lines, got, strict=True):
-                if None in ids:
-                    ids = [x if x is not None else inner[w] if k else first[w] for k, (w, x) in enumerate(zip(words, ids, strict=True))]
-                parts.append(b"".join(ids))
-            out.append(self._newline_bytes.join(parts))
-        self._trim()
+        """Cuts at spaces and newlines; texts where that gave an odd piece are cut by the pattern."""
+        if not texts:
+            return []
+        simple = [k for k, x in enumerate(texts) if x and _MARK not in x]
+        out: list[bytes] = [b""] * len(texts)
+        slow = [k for k, x in enumerate(texts) if x and _MARK in x]
+        if simple:
+            joined = _MARK.join([texts[k] for k in simple]).replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK)
+            counts = np.array([texts[k].count(" ") + 2 * texts[k].count("\n") + 1 for k in simple])
+            cut = pc.split_pattern(pa.array([joined], pa.large_string()), _MARK).values
+            for k, ids in zip(simple, self._gathered(cut, counts), strict=True):
+                if ids is None:
+                    slow.append(k)
+                else:
+                    out[k] = ids
+        if slow:
+            cut_by = [pieces_of(texts[k]) for k in slow]
+            flat = pa.array([w for x in cut_by for w in x], pa.large_string())
+            for k, ids in zip(slow, self._gathered(flat, np.array([len(x) for x in cut_by]), whole=True), strict=True):
+                out[k] = ids
+        if len(self._known) > self._limit or self._chars > MEMO_CHARS:
+            self._trim()
         return out
 
-    def _loose(self, text: str) -> bytes:
-        """A text with other blanks: cut before spaces that a non-blank follows only, so
-        that no call of the library holds more than a part of a very long text."""
-        if len(text) < 100_000:
-            return self._ids(text).tobytes()
-        edges, last = [0], 0
-        for m in _CUT.finditer(text):
-            if m.start() - last >= 50_000:
-                last = m.start()
-                edges.append(last)
-        edges.append(len(text))
-        return b"".join(self._ids(text[a:b]).tobytes() for a, b in zip(edges, edges[1:], strict=False))
+    def _gathered(self, cut: pa.Array, counts: np.ndarray, whole: bool = False) -> list[bytes | None]:
+        """Ids of texts whose pieces follow each other; None for one that holds an odd piece."""
+        coded = cut.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        at = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        start, size = self._ends[at], self._ends[at + 1] - self._ends[at]
+        upto = np.cumsum(size)
+        ids = self._ids_held[np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        edges = np.r_[0, np.cumsum(counts)]
+        byte = 4 * np.r_[0, upto][edges]
+        data = ids.tobytes()
+        odd = np.zeros(len(counts), bool) if whole else np.diff(np.r_[0, np.cumsum(self._odd[at])][edges]) > 0
+        return [None if odd[k] else data[byte[k] : byte[k + 1]] for k in range(len(counts))]
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        known = self._known
+        found = list(map(known.get, pieces))
+        if None in found:
+            self._learn([p for p, k in zip(pieces, found, strict=True) if k is None])
+            found = [known[p] if k is None else k for p, k in zip(pieces, found, strict=True)]
+        return np.array(found, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Numbers the pieces.  Words of Latin letters are one pre-token, a full stop or comma
+        after them another; those go to the library's model straight, all others whole."""
+        plain = _PLAIN.fullmatch
+        marked = [p for p in new if p[-1:] in _MARKS and plain(p[:-1])]
+        stems = {p[:-1] for p in marked}
+        alone = {p for p in new if plain(p)}
+        parts: dict[str, np.ndarray] = {}
+        for some in ([p for p in stems | alone if p.isascii()], [p for p in stems | alone if not p.isascii()]):
+            parts |= zip(some, self._straight(some), strict=True)
+        parts |= {p: np.concatenate([parts[p[:-1]], self._marks[p[-1]]]) for p in marked}
+        rest = [p for p in new if p not in parts]
+        bare = [p[1:] if p[:1] == " " else p for p in rest]
+        odd = {p for p, w in zip(rest, bare, strict=True) if (not w or w[0] in SPACES or w[-1] in SPACES) and p != "\n"}
+        words = [p for p in rest if p not in odd and p != "\n"]
+        parts |= dict(zip(words, self._whole(words), strict=True)) | {p: self._ids(p) for p in rest if p in odd or p == "\n"}
+        first = len(self._known)
+        self._known.update(zip(new, range(first, first + len(new)), strict=True))
+        self._chars += sum(map(len, new))
+        found = [parts[p] for p in new]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        base = self._ends[first]
+        self._ends = _room(self._ends, first + len(new) + 1)
+        self._odd = _room(self._odd, first + len(new))
+        self._ends[first + 1 : first + 1 + len(new)] = base + np.cumsum(sizes)
+        self._odd[first : first + len(new)] = [p in odd for p in new] if odd else False
+        last = self._ends[first + len(new)]
+        self._ids_held = _room(self._ids_held, last)
+        self._ids_held[base:last] = np.concatenate(found)
+
+    def _straight(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of pieces that are one pre-token each, in the byte alphabet of the model."""
+        if not words:
+            return []
+        joined = "\n".join(words)
+        if joined.isascii():
+            shown = joined.replace(" ", _ALPHABET[32]).replace("\n", _ALPHABET[10])
+        else:
+            shown = joined.encode().decode("latin-1").translate(_ALPHABET)
+        ids = np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, ID_TYPE)
+        return self._between(ids, len(words)) or [self._ids(w) for w in words]
+
+    def _whole(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of pieces without blanks but for one that leads, as one text of lines."""
+        if not words:
+            return []
+        return self._between(self._ids("\n".join(words)), len(words)) or [self._ids(w) for w in words]
+
+    def _between(self, ids: np.ndarray, n: int) -> list[np.ndarray]:
+        ends = np.flatnonzero(ids == self._newline[0])
+        if len(ends) != n - 1:  # a word holds that id
+            return []
+        edges = [-1, *ends.tolist(), len(ids)]
+        return [ids[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _trim(self) -> None:
-        # a dict keeps its order: the oldest entries are the most frequent words, those stay
-        if len(self._inner) > self._limit:
-            self._inner = dict(islice(self._inner.items(), self._limit // 2))
-        if len(self._first) > self._limit // 4:
-            self._first = dict(islice(self._first.items(), self._limit // 8))
-
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
-        marked = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
-        plain = (words - set(marked)) | {w[:-1] for w in marked if w[:-1] not in memo}
-        fresh = list(plain)
-        # no word holds a blank, so each is whole between two lone newlines
-        ids = self._ids("\n".join([lead + w for w in fresh])) if fresh else np.empty(0, ID_TYPE)
-        ends = np.flatnonzero(ids == self._newline[0])
-        if len(ends) != max(0, len(fresh) - 1):
-            raise RuntimeError("the tokenizer does not keep a lone newline apart")
-        data = ids.tobytes()
-        start = 0
-        for word, stop in zip(fresh, [*(ends * 4).tolist(), len(data)], strict=False):
-            memo[word] = data[start:stop]
-            start = stop + 4
-        for word in marked:
-            memo[word] = memo[word[:-1]] + self._marks[word[-1]]
+        # a dict keeps its order: the oldest pieces are the most frequent, those stay
+        kept, chars = [], 0
+        for p in islice(self._known, self._limit // 2):
+            chars += len(p)
+            if chars > MEMO_CHARS // 2:
+                break
+            kept.append(p)
+        self._known = {p: k for k, p in enumerate(kept)}
+        self._chars = sum(map(len, kept))
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 @lru_cache(maxsize=2)

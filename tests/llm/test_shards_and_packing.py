@@ -33,7 +33,7 @@ def crc(ids: list[int]) -> int:
 
 
 def test_memo_gives_the_tokenizers_ids(ids_of) -> None:
-    encoder = bpe.WordEncoder(bpe.default_path(), memo_words=40)  # so small that it is trimmed all the time
+    encoder = bpe.WordEncoder(bpe.default_path(), memo_pieces=40)  # so small that it is trimmed all the time
     texts = [*random_texts(300, 3), "a\nb", "don't.", "x,", ".", ",", "a.\nb, c", "<|endoftext|> a", "  a", "1,000 2.5", "Ab.cd, ef"]
     for _ in range(2):
         got = encoder.encode(texts)
