@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 MEMO_PIECES = 900_000
 MEMO_CHARS = 24_000_000
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
 DEFAULT_FILE = "byte_bpe_50k.json"
 ID_TYPE = np.dtype("<u4")
 

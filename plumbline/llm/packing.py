@@ -147,8 +147,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
         encode = bpe.encoder(tokenizer).encode
         step = 4 * window
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                block = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 5000):
+                block = batch.slice(at, 5000)
                 names = block.schema.names
                 rows: list[tuple] = []
                 for doc_id, ids in zip(block.column(names.index("doc_id")).to_pylist(), encode(block.column(names.index("text")).to_pylist()), strict=True):

@@ -266,8 +266,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_byt
             number += 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                block = batch.slice(at, 500).to_pydict()
+            for at in range(0, batch.num_rows, 5000):
+                block = batch.slice(at, 5000).to_pydict()
                 for doc_id, ids in zip(block["doc_id"], encode.encode(block["text"]), strict=True):
                     if writer is None:
                         held = posixpath.join(root, f".part-{part:06d}-{number:04d}-{task.taskAttemptId()}")
