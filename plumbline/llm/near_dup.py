@@ -8,8 +8,9 @@ chance (1 - (1 - p) ** SKETCHES) ** 2, 0.9998 at a similarity of 0.8 and more ab
 1.  Documents with equal shingle sets form a class; its smallest id stands for it.
 2.  A key can only be shared if both its sketches are, so sketches that one class alone has
     are dropped before any key is formed.
-3.  Classes in a bucket are compared with a few pivots of it, not with each other, and exact
-    links join classes into components.  Only where a bucket then still holds several
+3.  Classes in a bucket are compared with two pivots of it, not with each other, and exact
+    links join classes into components; then with two more where the first left several
+    components.  Only where a bucket then still holds several
     components are its other pairs looked at: those of different components that share one of
     their rarest shingles and whose sketch bits do not rule a link out (six standard
     deviations).
@@ -235,24 +236,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     buckets = written(buckets.where("p1 < p2"), "buckets")
     members = written(keys.join(buckets, "key").select("key", "doc_id", "p1", "p2", "p3", "p4"), "members")
-    stars = members.select(F.explode(F.array("p1", "p2", "p3", "p4")).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     bits = reps.select("doc_id", "bits")
+    wanted = written(members.select("doc_id").distinct(), "candidates")
+    texts = written(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+
+    def stars(rows: DataFrame, *pivots: str) -> DataFrame:
+        met = rows.select(F.explode(F.array(*pivots)).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def possible(pairs: DataFrame) -> DataFrame:
         x = pairs.join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a")
         return x.where(_may_link(F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b")
 
-    pairs = written(possible(stars), "pairs")
-    wanted = written(members.select("doc_id").distinct(), "candidates")
-    texts = written(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    pairs = written(possible(stars(members, "p1", "p3")), "pairs")
     links = written(confirmed(pairs, texts, width, percent), "links")
     labels = components(links)
 
+    # the other two pivots, in the buckets where the first two left several components
+    def is_open(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    first = written(labelled(members.select("key", "doc_id", "p2", "p4")), "placed-first")
+    second = stars(first.join(is_open(first), "key", "left_semi"), "p2", "p4").join(pairs, ["a", "b"], "left_anti")
+    second = written(possible(second), "pairs")
+    pairs = pairs.unionByName(second)
+    links = links.unionByName(written(confirmed(second, texts, width, percent), "links"))
+    labels = components(links)
+
     # buckets that still hold several components: pairs across them, not looked at yet
-    placed = members.select("key", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    placed = written(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    placed = written(labelled(members.select("key", "doc_id")), "placed")
+    open_keys = is_open(placed)
     by_label = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     major = written(by_label.join(open_keys, "key", "left_semi").groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major")), "open-buckets")
     inside = placed.join(major, "key").groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("major")).alias("outside"))
