@@ -155,53 +155,52 @@ def sequences(docs: DataFrame, v: Vocabulary) -> DataFrame:
         head, class_log = v.head, v.class_log()
         logs = np.log10(v.counts + 0.5)
         end_log, end_known = math.log10(v.ends + 0.5), int(v.ends > 0)
-        classes: dict[bytes, int] = {}
         rank_class = np.array([word_class(w) for w in head], np.int64)
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                block = batch.slice(at, 500)
-                out = []
-                for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                    words = tokens(text)
-                    ranks = np.array([head.get(w, -1) for w in words], np.int64)
-                    rare = [words[k] for k in np.flatnonzero(ranks < 0).tolist()]
-                    if len(classes) > 500_000:
-                        classes.clear()
-                    kinds = []
-                    for w in rare:
-                        k = classes.get(w)
-                        if k is None:
-                            k = classes[w] = word_class(w)
-                        kinds.append(k)
-                    symbols = np.empty(len(words) + 1, np.int32)
-                    symbols[-1] = SYMBOL_WORDS
-                    of_class = np.where(ranks >= SYMBOL_WORDS, rank_class[ranks] if len(rank_class) else 0, -1)
-                    of_class[ranks < 0] = kinds
-                    symbols[:-1] = np.where(of_class >= 0, SYMBOL_WORDS + 1 + of_class, ranks)
-                    known = ranks >= 0
-                    own = logs[ranks[known]]
-                    middle = ranks[ranks >= SYMBOL_WORDS]
-                    inner = float(logs[middle].sum()) - float(class_log[of_class[of_class >= 0]].sum())
-                    tail = Counter(rare)
-                    out.append((rid, doc_id, is_held_out(doc_id), len(words) + 1, int(known.sum()) + end_known, float(own.sum()) + end_log, inner, symbols, tail))
-                    rid += 1
-                columns = list(zip(*out, strict=True))
-                kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds_, strict=False)]
-                arrays.append(pa.ListArray.from_arrays(_edges(columns[7]), np.concatenate(columns[7])))
-                tails = [list(c) for c in columns[8]]
-                flat = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for c in columns[8] for n in c.values()], pa.int32())], ["word", "n"])
-                arrays.append(pa.ListArray.from_arrays(_edges(tails), flat))
+            for at in range(0, batch.num_rows, 1000):
+                block = batch.slice(at, 1000)
+                ids = block.column(0).to_pylist()
+                split = [tokens(x) for x in block.column(1).to_pylist()]
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                coded = pa.array([w for x in split for w in x], pa.binary()).dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                # by distinct word of the block: rank, class (-1: a symbol of its own), and what it adds
+                rank = np.fromiter((head.get(w, -1) for w in distinct), np.int64, len(distinct))
+                of_class = np.where(rank >= SYMBOL_WORDS, rank_class[rank] if len(rank_class) else 0, -1)
+                rare = np.flatnonzero(rank < 0)
+                of_class[rare] = [word_class(distinct[k]) for k in rare.tolist()]
+                symbol = np.where(of_class >= 0, SYMBOL_WORDS + 1 + of_class, rank).astype(np.int32)
+                own = np.where(rank >= 0, logs[rank] if len(logs) else 0.0, 0.0)
+                inner = np.where(rank >= SYMBOL_WORDS, own, 0.0) - np.where(of_class >= 0, class_log[of_class], 0.0)
+                where = coded.indices.to_numpy(zero_copy_only=False)
+                text = np.repeat(np.arange(len(split)), sizes)
+                per_text = lambda x: np.bincount(text, x[where], minlength=len(split))  # noqa: B023, E731
+                ends = np.cumsum(sizes + 1)
+                symbols = np.full(int(ends[-1]), SYMBOL_WORDS, np.int32)
+                symbols[np.arange(len(where)) + text] = symbol[where]
+                # rare words with their number in each text
+                picked = np.flatnonzero(rank[where] < 0)
+                pair, n = np.unique(text[picked] * max(1, len(distinct)) + where[picked], return_counts=True)
+                tail = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pair % max(1, len(distinct)))), pa.array(n.astype(np.int32))], ["word", "n"])
+                tail_edges = np.r_[0, np.cumsum(np.bincount(pair // max(1, len(distinct)), minlength=len(split)))].astype(np.int32)
+                arrays = [
+                    pa.array(np.arange(rid, rid + len(split))),
+                    block.column(0),
+                    pa.array([is_held_out(x) for x in ids], pa.bool_()),
+                    pa.array(sizes + 1),
+                    pa.array(per_text((rank >= 0).astype(float)).astype(np.int64) + end_known),
+                    pa.array(per_text(own) + end_log),
+                    pa.array(per_text(inner)),
+                    pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), symbols),
+                    pa.ListArray.from_arrays(tail_edges, tail),
+                ]
+                rid += len(split)
                 yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols", "tail"])
 
     return _slim(docs).mapInArrow(rows, _SEQUENCE)
 
 
-def _edges(lists: tuple | list) -> np.ndarray:
-    return np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-
-
 def first_model(v: Vocabulary, states: int = STATES) -> Model:
     """Symbol frequencies, disturbed by fixed noise so that the states differ; states last."""
     rng = np.random.Generator(np.random.PCG64(7))
@@ -212,64 +211,70 @@ def first_model(v: Vocabulary, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _lengths_first(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences by falling length as one flat array, where each starts, and how many are as
-    long as each step needs."""
+def _by_step(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences by falling length, laid out step by step: their order, the symbols, and where
+    each step starts; the sequences that are long enough fill a step from its start."""
     order = np.argsort([-len(p) for p in parts], kind="stable")
     sizes = np.array([len(parts[k]) for k in order])
-    flat = np.concatenate([parts[k] for k in order])
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
-    return order, np.stack([starts, sizes]), np.array([flat, active], dtype=object)
+    edges = np.r_[0, np.cumsum(active)]
+    flat = np.concatenate([parts[k] for k in order])
+    step = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    laid = np.empty(len(flat), flat.dtype)
+    laid[edges[step] + np.repeat(np.arange(len(sizes)), sizes)] = flat
+    return order, laid, edges
 
 
 def expected(parts: list[np.ndarray], m: Model, emit_counts: np.ndarray, move_counts: np.ndarray, start_counts: np.ndarray) -> float:
-    """Adds one block's forward-backward counts; gives its log10 likelihood."""
-    _, (starts, sizes), (flat, active) = _lengths_first(parts)
+    """Adds one block's forward-backward counts; gives its log10 likelihood.  States come first
+    in all arrays, so that sums over them run along whole steps."""
+    _, laid, edges = _by_step(parts)
     states = len(m.start)
-    e = m.emit[flat]
-    alpha = np.empty((len(flat), states))
-    scale = np.empty(len(flat))
-    longest = int(sizes[0])
-    a = m.start * e[starts]
-    for t in range(longest):
-        n = int(active[t])
-        at = starts[:n] + t
+    e = np.ascontiguousarray(m.emit.T).take(laid, axis=1)
+    alpha = np.empty((states, len(laid)))
+    scale = np.empty(len(laid))
+    forth, back = np.ascontiguousarray(m.move.T), m.move
+    steps = len(edges) - 1
+    a = m.start[:, None] * e[:, : edges[1]]
+    for t in range(steps):
+        lo, hi = edges[t], edges[t + 1]
         if t:
-            a = (a[:n] @ m.move) * e[at]
-        s = a.sum(axis=1)
-        a = a / s[:, None]
-        alpha[at], scale[at] = a, s
-    gamma = np.empty_like(alpha)
-    beta = np.ones((len(parts), states))
-    for t in range(longest - 1, -1, -1):
-        n = int(active[t])
-        at = starts[:n] + t
-        later = int(active[t + 1]) if t + 1 < longest else 0
-        if later:
-            nxt = starts[:later] + t + 1
-            w = e[nxt] * beta[:later] / scale[nxt, None]
-            move_counts += m.move * (alpha[starts[:later] + t].T @ w)
-            beta[:later] = w @ m.move.T
-        gamma[at] = alpha[at] * beta[:n]
+            a = forth @ a[:, : hi - lo]
+            a *= e[:, lo:hi]
+        s = a.sum(axis=0)
+        a /= s
+        alpha[:, lo:hi], scale[lo:hi] = a, s
+    e /= scale
+    moved = np.zeros((states, states))
+    beta = np.ones((states, edges[1]))
+    for t in range(steps - 1, 0, -1):
+        lo, hi = edges[t], edges[t + 1]
+        n, before = hi - lo, edges[t - 1]
+        w = e[:, lo:hi] * beta[:, :n]
+        moved += alpha[:, before : before + n] @ w.T
+        alpha[:, lo:hi] *= beta[:, :n]  # now the state's chance given the whole sequence
+        beta[:, :n] = back @ w
+    alpha[:, : edges[1]] *= beta
+    move_counts += m.move * moved
     for k in range(states):
-        emit_counts[:, k] += np.bincount(flat, gamma[:, k], minlength=len(emit_counts))
-    start_counts += gamma[starts].sum(axis=0)
+        emit_counts[:, k] += np.bincount(laid, alpha[k], minlength=len(emit_counts))
+    start_counts += alpha[:, : edges[1]].sum(axis=1)
     return float(np.log10(scale).sum())
 
 
 def log_likelihoods(parts: list[np.ndarray], m: Model) -> np.ndarray:
     """log10 likelihood of each whole sequence by the scaled forward recursion."""
-    order, (starts, sizes), (flat, active) = _lengths_first(parts)
+    order, laid, edges = _by_step(parts)
+    emit, forth = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
     total = np.zeros(len(parts))
-    a = m.start * m.emit[flat[starts]]
-    for t in range(int(sizes[0])):
-        n = int(active[t])
-        if t:
-            a = (a[:n] @ m.move) * m.emit[flat[starts[:n] + t]]
-        s = a.sum(axis=1)
-        a = a / s[:, None]
-        total[:n] += np.log10(s)
+    a = m.start[:, None]
+    for t in range(len(edges) - 1):
+        lo, hi = edges[t], edges[t + 1]
+        e = emit.take(laid[lo:hi], axis=1)
+        a = forth @ a[:, : hi - lo] * e if t else a * e
+        s = a.sum(axis=0)
+        a /= s
+        total[: hi - lo] += np.log10(s)
     out = np.empty(len(parts))
     out[order] = total
     return out
