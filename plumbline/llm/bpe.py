@@ -14,15 +14,15 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 900_000
+MEMO_PIECES = 700_000
 MEMO_CHARS = 24_000_000
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 4_000_000
 DEFAULT_FILE = "byte_bpe_50k.json"
 ID_TYPE = np.dtype("<u4")
 
@@ -73,7 +73,7 @@ class WordEncoder:
         self._newline = self._ids("\n")
         if len(self._newline) != 1:
             raise ValueError("the tokenizer has no id of its own for a newline")
-        self._marks = {m: self._ids(m) for m in _MARKS}
+        self._marks = {m: int(self._ids(m)[0]) for m in _MARKS if len(self._ids(m)) == 1}
         self._model = Tokenizer(self._tokenizer.model)
         self._model.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[ord("\n")], "isolated")
         self._known: dict[str, int] = {}  # piece -> its number
@@ -138,77 +138,78 @@ class WordEncoder:
         return [None if odd[k] else data[byte[k] : byte[k + 1]] for k in range(len(counts))]
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
-        known = self._known
-        found = list(map(known.get, pieces))
-        if None in found:
-            self._learn([p for p, k in zip(pieces, found, strict=True) if k is None])
-            found = [known[p] if k is None else k for p, k in zip(pieces, found, strict=True)]
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self._known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [pieces[k] for k in missing.tolist()]
+            self._learn(new)
+            found[missing] = np.fromiter(map(self._known.__getitem__, new), np.int64, len(new))
+        return found
 
     def _learn(self, new: list[str]) -> None:
         """Numbers the pieces.  Words of Latin letters are one pre-token, a full stop or comma
         after them another; those go to the library's model straight, all others whole."""
-        plain = _PLAIN.fullmatch
-        marked = [p for p in new if p[-1:] in _MARKS and plain(p[:-1])]
-        stems = {p[:-1] for p in marked}
-        alone = {p for p in new if plain(p)}
-        parts: dict[str, np.ndarray] = {}
-        for some in ([p for p in stems | alone if p.isascii()], [p for p in stems | alone if not p.isascii()]):
-            parts |= zip(some, self._straight(some), strict=True)
-        parts |= {p: np.concatenate([parts[p[:-1]], self._marks[p[-1]]]) for p in marked}
-        rest = [p for p in new if p not in parts]
+        plain, known = _PLAIN.fullmatch, self._known
+        alone = [p for p in new if plain(p)]
+        rest = [p for p in new if not plain(p)] if len(alone) < len(new) else []
+        marked = [p for p in rest if p[-1:] in self._marks and plain(p, 0, len(p) - 1)]
+        stems = [p[:-1] for p in marked]
+        simple = {*alone, *(p for p in stems if p not in known)}
+        for some in ([p for p in simple if p.isascii()], [p for p in simple if not p.isascii()]):
+            self._add(some, *self._straight(some))
+        if marked:
+            at = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
+            sizes = self._ends[at + 1] - self._ends[at] + 1
+            upto = np.cumsum(sizes)
+            held = self._ids_held[np.repeat(self._ends[at] - upto + sizes, sizes) + np.arange(upto[-1])]
+            held[upto - 1] = [self._marks[p[-1]] for p in marked]
+            self._add(marked, held, sizes)
+        rest = [p for p in rest if p not in known]
         bare = [p[1:] if p[:1] == " " else p for p in rest]
-        odd = {p for p, w in zip(rest, bare, strict=True) if (not w or w[0] in SPACES or w[-1] in SPACES) and p != "\n"}
-        words = [p for p in rest if p not in odd and p != "\n"]
-        parts |= dict(zip(words, self._whole(words), strict=True)) | {p: self._ids(p) for p in rest if p in odd or p == "\n"}
-        first = len(self._known)
-        self._known.update(zip(new, range(first, first + len(new)), strict=True))
-        self._chars += sum(map(len, new))
-        found = [parts[p] for p in new]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        odd = [p for p, w in zip(rest, bare, strict=True) if not w or w[0] in SPACES or w[-1] in SPACES]
+        words = list(set(rest) - set(odd))
+        self._add(words, *self._whole(words))
+        for p in odd:
+            ids = self._ids(p)
+            self._add([p], ids, np.array([len(ids)]), odd=p != "\n")
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray, odd: bool = False) -> None:
+        first, n = len(self._known), len(pieces)
+        self._known.update(zip(pieces, range(first, first + n), strict=True))
+        self._chars += sum(map(len, pieces))
+        self._ends, self._odd = _room(self._ends, first + n + 1), _room(self._odd, first + n)
         base = self._ends[first]
-        self._ends = _room(self._ends, first + len(new) + 1)
-        self._odd = _room(self._odd, first + len(new))
-        self._ends[first + 1 : first + 1 + len(new)] = base + np.cumsum(sizes)
-        self._odd[first : first + len(new)] = [p in odd for p in new] if odd else False
-        last = self._ends[first + len(new)]
-        self._ids_held = _room(self._ids_held, last)
-        self._ids_held[base:last] = np.concatenate(found)
-
-    def _straight(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of pieces that are one pre-token each, in the byte alphabet of the model."""
-        if not words:
-            return []
+        self._ends[first + 1 : first + n + 1] = base + np.cumsum(sizes)
+        self._odd[first : first + n] = odd
+        self._ids_held = _room(self._ids_held, base + len(ids))
+        self._ids_held[base : base + len(ids)] = ids
+
+    def _straight(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces that are one pre-token each, in the byte alphabet of the model."""
         joined = "\n".join(words)
         if joined.isascii():
             shown = joined.replace(" ", _ALPHABET[32]).replace("\n", _ALPHABET[10])
         else:
             shown = joined.encode().decode("latin-1").translate(_ALPHABET)
-        ids = np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, ID_TYPE)
-        return self._between(ids, len(words)) or [self._ids(w) for w in words]
+        return self._between(words, np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, ID_TYPE))
 
-    def _whole(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of pieces without blanks but for one that leads, as one text of lines."""
-        if not words:
-            return []
-        return self._between(self._ids("\n".join(words)), len(words)) or [self._ids(w) for w in words]
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces without blanks but for one that leads, as one text of lines."""
+        return self._between(words, self._ids("\n".join(words)))
 
-    def _between(self, ids: np.ndarray, n: int) -> list[np.ndarray]:
+    def _between(self, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.flatnonzero(ids == self._newline[0])
-        if len(ends) != n - 1:  # a word holds that id
-            return []
-        edges = [-1, *ends.tolist(), len(ids)]
-        return [ids[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False)]
+        if words and len(ends) == len(words) - 1:
+            return np.delete(ids, ends), np.diff(np.r_[-1, ends, len(ids)]) - 1
+        each = [self._ids(w) for w in words]  # a word holds that id
+        return np.concatenate([np.empty(0, ID_TYPE), *each]), np.array([len(x) for x in each], np.int64)
 
     def _trim(self) -> None:
         # a dict keeps its order: the oldest pieces are the most frequent, those stay
-        kept, chars = [], 0
-        for p in islice(self._known, self._limit // 2):
-            chars += len(p)
-            if chars > MEMO_CHARS // 2:
-                break
-            kept.append(p)
-        self._known = {p: k for k, p in enumerate(kept)}
+        kept = list(islice(self._known, min(self._limit, len(self._known)) // 2))
+        while kept and sum(map(len, kept)) > MEMO_CHARS // 2:
+            kept = kept[: len(kept) // 2]
+        self._known = dict(zip(kept, range(len(kept)), strict=True))
         self._chars = sum(map(len, kept))
 
 
