@@ -1,10 +1,423 @@
-"""Queries over the driver's tables, by name, and the same in SQL."""
+"""Queries over the driver's tables, by name, and the same in SQL.
+
+The tables hold no source code; each operator runs on a stand-in of the same structure: trade
+flows between nations are the import graph, events are findings, texts are files.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.cut import written
+from plumbline.functions import paths
+from plumbline.operators import findings as fi
+from plumbline.operators import graph, intervals, stats, windows
+from plumbline.plans import predicate
+from plumbline.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- the graph of trade flows
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, n): lines by the supplier's and the customer's nation."""
+    line, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cust, supp = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("dst")), table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("src"))
+    sold = line.join(supp, line["l_suppkey"] == supp["s_suppkey"]).join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(cust, orders["o_custkey"] == cust["c_custkey"])
+    return sold.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def edges(spark: SparkSession, sf_dir: str, quantile: float = 0.9) -> DataFrame:
+    """Flows above a quantile of their volume; a row for each pair of nations at most."""
+    all_flows = written(flows(spark, sf_dir), "flows")
+    limit = all_flows.agg(F.percentile("n", F.lit(quantile)).alias("q")).first()["q"]
+    return all_flows.where(F.col("n") > (limit if limit is not None else 0)).select("src", "dst")
+
+
+FLOWS_SQL = """flows AS (SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+edges AS (SELECT src, dst FROM flows WHERE n > (SELECT quantile_cont(n, 0.9) FROM flows))"""
+REACH_SQL = f"WITH RECURSIVE {FLOWS_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"
+
+
+@query(f"""WITH {FLOWS_SQL} SELECT e.src, e.dst, 'r' || a.n_regionkey AS src_layer, 'r' || b.n_regionkey AS dst_layer FROM edges e
+JOIN nation a ON e.src = a.n_nationkey JOIN nation b ON e.dst = b.n_nationkey
+WHERE a.n_regionkey <> b.n_regionkey AND b.n_regionkey <> (a.n_regionkey + 1) % 5""")
+def layer_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows between regions that the list of allowed pairs does not hold."""
+    layers = {f"r{k}": [f"r{k}/*"] for k in range(5)}
+    place = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), paths.layer_of(F.concat(F.lit("r"), F.col("n_regionkey"), F.lit("/n"), F.col("n_nationkey")), layers).alias("layer"))
+    met = edges(spark, sf_dir).join(place.select(F.col("key").alias("src"), F.col("layer").alias("src_layer")), "src").join(place.select(F.col("key").alias("dst"), F.col("layer").alias("dst_layer")), "dst")
+    allowed = F.array(*[F.lit(f"r{k}>r{(k + 1) % 5}") for k in range(5)])
+    return met.where((F.col("src_layer") != F.col("dst_layer")) & ~F.array_contains(allowed, F.concat("src_layer", F.lit(">"), "dst_layer"))).select("src", "dst", "src_layer", "dst_layer")
+
+
+@query(f"{REACH_SQL} SELECT src, dst FROM reach")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(edges(spark, sf_dir)).select("src", "dst")
+
+
+@query(f"""WITH RECURSIVE {FLOWS_SQL}, b AS (SELECT src, dst, 1 AS depth FROM edges UNION SELECT b.src, e.dst, depth + 1 FROM b JOIN edges e ON b.dst = e.src WHERE depth < 2)
+SELECT src, dst, min(depth)::INT AS depth FROM b GROUP BY 1, 2""")
+def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(edges(spark, sf_dir), 2)
+
+
+@query(f"{REACH_SQL} SELECT a.src AS id, least(a.src, min(b.dst)) AS scc FROM reach a JOIN reach b ON a.src = b.src JOIN reach c ON b.dst = c.src AND c.dst = a.src WHERE a.src = a.dst GROUP BY 1, a.src")
+def import_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on cycles with their strong component."""
+    return graph.strong_components(edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {FLOWS_SQL}, linked AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT src, dst FROM linked UNION SELECT r.src, b.dst FROM reach r JOIN linked b ON r.dst = b.src)
+SELECT src AS id, least(src, min(dst)) AS label FROM reach GROUP BY src""")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {FLOWS_SQL}, b AS (SELECT src AS id, 1 AS depth FROM edges WHERE dst IN (0, 1, 2) UNION SELECT e.src, depth + 1 FROM b JOIN edges e ON e.dst = b.id WHERE depth < 4)
+SELECT id, min(depth)::BIGINT AS depth, greatest(6, 70 - 15 * (min(depth) - 1))::BIGINT AS score FROM b WHERE id NOT IN (0, 1, 2) GROUP BY id""")
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.blast_radius(edges(spark, sf_dir), spark.createDataFrame([(0,), (1,), (2,)], "id long"))
+
+
+@query(f"""WITH {FLOWS_SQL}, f AS (SELECT src, count(*) AS fan_out FROM edges GROUP BY 1), s AS (SELECT avg(fan_out) AS m, stddev_samp(fan_out) AS sd FROM f)
+SELECT src, fan_out, round(m, 6) AS mean, round(sd, 6) AS sd FROM f, s WHERE fan_out > m + 1.5 * sd AND fan_out >= 2""")
+def fan_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fans = edges(spark, sf_dir).groupBy("src").agg(F.count("*").alias("fan_out"))
+    return stats.outliers(fans, "fan_out", sigmas=1.5, least_rows=2, least_value=2).select("src", "fan_out", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+# ---------------------------------------------------------------- consumption, names, majorities
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
+def orphan_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    return part.join(line.where("l_returnflag = 'R' AND l_quantity > 45"), part["p_partkey"] == line["l_partkey"], "left_anti").select("p_partkey")
+
+
+@query("""SELECT p_partkey, count(*) AS total FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_type = 'ECONOMY')
+GROUP BY p_partkey HAVING count(*) FILTER (WHERE l_quantity > 40) = 0""")
+def dead_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that are sold, never in a large quantity, and whose brand is not sold as a whole."""
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    counts = line.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("total"), F.count_if(F.col("l_quantity") > 40).alias("used")).where("used = 0")
+    shielded = part.where("p_size = 50 AND p_type = 'ECONOMY'").select("p_brand")
+    return counts.join(part.join(shielded, "p_brand", "left_anti"), "p_partkey").select("p_partkey", "total")
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand, p_type FROM part) SELECT p_brand, p_type FROM d WHERE
+NOT EXISTS (SELECT 1 FROM part p JOIN lineitem ON l_partkey = p_partkey WHERE l_discount = 0.1 AND l_returnflag = 'R' AND l_quantity > 45 AND p.p_brand = d.p_brand AND p.p_type = d.p_type)
+AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = d.p_brand AND p.p_size = 49 AND p.p_name LIKE 'small%')""")
+def unused_reexport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_discount = 0.1 AND l_returnflag = 'R' AND l_quantity > 45")
+    named = line.join(part, line["l_partkey"] == part["p_partkey"]).select("p_brand", "p_type")
+    whole = part.where("p_size = 49 AND p_name LIKE 'small%'").select("p_brand")
+    return part.select("p_brand", "p_type").distinct().join(named, ["p_brand", "p_type"], "left_anti").join(whole, "p_brand", "left_anti").select("p_brand", "p_type")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.n_chars = d.n_chars + 1) AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.n_chars = d.n_chars - 1)")
+def missing_counterpart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents none of whose candidate partners (by templates) exists."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    candidates = docs.select("doc_id", F.explode(F.array(F.col("n_chars") + 1, F.col("n_chars") - 1)).alias("n_chars"))
+    met = candidates.join(docs.select("n_chars").distinct(), "n_chars", "left_semi").select("doc_id")
+    return docs.join(met, "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY' ELSE p_type || '/Brand#1' END AS prefix FROM part WHERE p_type = 'ECONOMY' OR (p_type = 'STANDARD' AND p_brand = 'Brand#1')")
+def forbid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "p_type", "p_brand", "p_name")
+    prefixes = ("ECONOMY", "STANDARD/Brand#1")
+    first = F.coalesce(*[F.when(paths.has_prefix(path, p), F.lit(p)) for p in prefixes])
+    return table(spark, sf_dir, "part").select("p_partkey", first.alias("prefix")).where("prefix IS NOT NULL")
+
+
+@query("SELECT l_orderkey, min(l_linenumber) AS anchor FROM lineitem GROUP BY 1 HAVING NOT bool_or(l_returnflag = 'R')")
+def require_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with lines, none of which bears the prefix; anchored at the first line."""
+    spec = F.concat_ws("/", "l_returnflag", "l_linestatus")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("anchor"), F.bool_or(paths.has_prefix(spec, "R")).alias("met")).where("NOT met").select("l_orderkey", "anchor")
+
+
+@query("""SELECT doc_id, g AS glob FROM documents, (VALUES ('src1*/en/*', '^src1.*/en/.*$'), ('src[3-4]/*', '^src[3-4]/.*$')) v(g, r) WHERE regexp_matches(source || '/' || lang || '/' || doc_id, r)""")
+def frozen_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each frozen glob that a path matches."""
+    globs = ("src1*/en/*", "src[3-4]/*")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    hits = F.array_compact(F.array(*[F.when(paths.matches(path, g), F.lit(g)) for g in globs]))
+    return table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.explode(hits).alias("glob"))
+
+
+@query("""SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND NOT (regexp_matches(source, '^src1.*$') OR doc_id::VARCHAR LIKE '%7')
+AND NOT (lang = 'de' AND n_chars < 100)""")
+def dsl_scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scripted rule, compiled to one filter."""
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    short = F.array(F.struct(F.when(F.col("n_chars") < 100, F.lit("short")).otherwise(F.lit("long")).alias("specifier"), F.lit(None).cast("string").alias("resolved"), F.lit(False).alias("type_only")))
+    facts = predicate.Facts(path=path, layer=F.col("lang"), imports=short)
+    broken = predicate.violation("require dirname(file) matches 'src1*' or file matches '*7' or (file in 'de' and file imports 'short')".replace("dirname(file) matches", "file.path matches"), facts, when="file.layer == 'en' or file.layer == 'de'")
+    return table(spark, sf_dir, "documents").where(broken).select("doc_id")
+
+
+@query("SELECT p_name, min(p_partkey) AS p_partkey, count(*) - 1 AS n_related FROM part GROUP BY 1 HAVING count(*) >= 2")
+def duplicate_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.duplicate_names(table(spark, sf_dir, "part"), "p_name", "p_partkey")
+
+
+@query("""WITH r AS (SELECT l_suppkey, round(count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE, 9) AS ratio FROM lineitem GROUP BY 1), s AS (SELECT avg(ratio) AS m, stddev_samp(ratio) AS sd FROM r)
+SELECT l_suppkey, round(ratio, 6) AS ratio FROM r, s WHERE ratio > m + sd""")
+def ratio_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.count_if(F.col("l_returnflag") == "R") / F.count("*"), 9).alias("ratio"))
+    return stats.outliers(ratios, "ratio", sigmas=1, least_rows=5, least_value=0).select("l_suppkey", F.round("ratio", 6).alias("ratio"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS yes, count(*) FILTER (WHERE l_returnflag <> 'R') AS no FROM lineitem GROUP BY 1)
+SELECT *, CASE WHEN yes > (yes + no) // 2 AND yes > no THEN true WHEN no > (yes + no) // 2 AND no > yes THEN false END AS majority FROM v""")
+def majority_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.local_majority(table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R")
+
+
+@query("WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1) SELECT *, (SELECT sum(n) FROM c) >= 8 AND n > (SELECT sum(n) FROM c) // 2 AS is_majority FROM c")
+def majority_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.corpus_majority(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+# ---------------------------------------------------------------- texts
+
+
+_WORD_SQL = r"SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS tokens FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"""WITH s AS ({_WORD_SQL}), k AS (SELECT list_sort(tokens) AS t, min(id) AS id, len(tokens) AS n FROM s WHERE len(tokens) > 0 GROUP BY t, n), e AS (SELECT id, n, unnest(t) AS w FROM k),
+p AS (SELECT x.id AS a, y.id AS b, x.n AS xn, y.n AS yn, count(*) AS n_both FROM e x JOIN e y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2, 3, 4)
+SELECT a, b, n_both, (xn + yn - n_both)::BIGINT AS n_either FROM p WHERE 100 * n_both >= 80 * (xn + yn - n_both)""")
+def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of equal word sets that are similar."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    return windows.similar_sets(table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), words.alias("tokens")))
+
+
+_LINES_SQL = r"""l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents),
+w AS (SELECT doc_id, k::BIGINT AS at_, array_to_string(lines[k : k + 2], chr(10)) AS content FROM l, unnest(range(1, len(lines) - 1)) AS r(k)),
+g AS (SELECT * FROM w WHERE length(content) >= 80)"""
+
+
+@query(f'''WITH {_LINES_SQL} SELECT sha256(content) AS content_sha256, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min({{'d': doc_id, 'k': at_}}).d AS doc_id, min({{'d': doc_id, 'k': at_}}).k AS "at" FROM g GROUP BY content HAVING count(*) >= 2''')
+def duplicate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three lines that occur at least twice."""
+    return windows.repeated_windows(windows.line_windows(table(spark, sf_dir, "documents"), width=3))
+
+
+@query()
+def self_overlap_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of windows that a text repeats, without those that overlap the one kept before."""
+    found = windows.line_windows(table(spark, sf_dir, "documents"), width=3).select("doc_id", F.sha2("content", 256).alias("content_sha256"), "at")
+    return intervals.drop_self_overlap(found, 3, "doc_id", "content_sha256")
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'))) AS signature FROM documents")
+def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", paths.signature(F.coalesce("text", F.lit(""))).alias("signature"))
+
+
+@query(r"SELECT page_id FROM pages WHERE NOT regexp_matches(html, '<html[^>]*\slang=') OR regexp_matches(html, '<html[^>]*\slang=\"(de|fr)\"')")
+def html_missing_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose root element names no language, or one that is not allowed."""
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").where(~html.rlike(r"<html[^>]*\slang=") | html.rlike(r'<html[^>]*\slang="(de|fr)"')).select("page_id")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT doc_id, max(length(line)) AS longest, count(*) FILTER (WHERE length(line) > 120) AS n_long FROM l GROUP BY 1 HAVING max(length(line)) > 120")
+def max_line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.char_length)
+    found = table(spark, sf_dir, "documents").select("doc_id", sizes.alias("s"))
+    return found.select("doc_id", F.array_max("s").cast("long").alias("longest"), F.size(F.filter("s", lambda x: x > 120)).cast("long").alias("n_long")).where("longest > 120")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\b[a-z]+@[a-z]+')) AS n FROM documents WHERE regexp_matches(text, '\b[a-z]+@[a-z]+')")
+def banned_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = r"\b[a-z]+@[a-z]+"
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(pattern)).select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- findings
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings: the type is the check, the user the file, the minute the line."""
+    minute = F.timestamp_diff("MINUTE", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("check_id"), F.col("user_id").alias("file"), minute.cast("long").alias("line"), F.col("value").alias("priority"))
+
+
+_FINDINGS_SQL = "f AS (SELECT event_id, event_type AS check_id, user_id AS file, date_diff('minute', TIMESTAMP '2024-01-01', ts)::BIGINT AS line, value AS priority FROM events)"
+_BASE_SQL = f"{_FINDINGS_SQL}, g AS (SELECT *, check_id || ':' || floor(priority / 10)::BIGINT AS sig FROM f), old AS (SELECT * FROM g WHERE line < 20000), new AS (SELECT * FROM g WHERE line >= 12000)"
+
+
+def bands(rows: DataFrame, check: str | None, before: int, after: int) -> DataFrame:
+    out = rows.select("event_id", F.col("file"), (F.col("line") - before).alias("first_line"), (F.col("line") + after).alias("last_line"))
+    return out.withColumn("check_id", F.lit(check)) if check else out
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id FROM f WHERE NOT EXISTS (SELECT 1 FROM f d WHERE d.check_id = 'signup' AND f.check_id = 'error' AND d.file = f.file AND f.line BETWEEN d.line AND d.line + 600)")
+def suppress_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings outside the blocks that directives open."""
+    f = findings(spark, sf_dir)
+    return fi.suppressed(f, bands(f.where("check_id = 'signup'"), "error", 0, 600)).select("event_id")
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id FROM f d WHERE check_id = 'signup' AND NOT EXISTS (SELECT 1 FROM f WHERE f.check_id = 'error' AND d.file = f.file AND f.line BETWEEN d.line AND d.line + 600)")
+def stale_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir)
+    return fi.stale_directives(bands(f.where("check_id = 'signup'"), "error", 0, 600), f).select("event_id")
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id, EXISTS (SELECT 1 FROM f d WHERE d.check_id = 'purchase' AND d.file = f.file AND f.line BETWEEN d.line - 30 AND d.line + 30) AS fresh FROM f WHERE check_id = 'error'")
+def fresh_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir)
+    return fi.fresh(f.where("check_id = 'error'"), bands(f.where("check_id = 'purchase'"), None, 30, 30).drop("event_id"), "event_id").select("event_id", "fresh")
+
+
+@query(f"""WITH {_FINDINGS_SQL}, s AS (SELECT event_id AS scope, file, line AS a, line + (priority * 10)::BIGINT AS z FROM f WHERE check_id = 'view'), p AS (SELECT event_id, file, line FROM f WHERE check_id = 'click'),
+i AS (SELECT p.event_id, min({{'w': z - a, 'a': a, 'scope': scope}}).scope AS scope FROM p JOIN s ON p.file = s.file AND p.line BETWEEN a AND z GROUP BY 1),
+n AS (SELECT p.event_id, min({{'a': a, 'scope': scope}}).scope AS scope FROM p JOIN s ON p.file = s.file AND a > p.line GROUP BY 1)
+SELECT p.event_id, coalesce(i.scope, n.scope) AS scope, CASE WHEN i.scope IS NOT NULL THEN 'inside' WHEN n.scope IS NOT NULL THEN 'next' END AS how FROM p LEFT JOIN i USING (event_id) LEFT JOIN n USING (event_id)""")
+def enclosing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir)
+    scopes = f.where("check_id = 'view'").select("file", F.col("event_id").alias("scope"), F.col("line").alias("first"), (F.col("line") + F.round(F.col("priority") * 10).cast("long")).alias("last"))
+    return intervals.enclosing_scope(f.where("check_id = 'click'").select("event_id", "file", F.col("line").alias("at")), scopes, "event_id")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = findings(spark, sf_dir).withColumn("sig", F.concat_ws(":", "check_id", F.floor(F.col("priority") / 10).cast("long")))
+    return f.where("line < 20000"), f.where("line >= 12000")
+
+
+@query(f"WITH {_BASE_SQL} SELECT event_id, EXISTS (SELECT 1 FROM old WHERE old.file = new.file AND old.check_id = new.check_id AND old.sig = new.sig) AS in_baseline FROM new")
+def baseline_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _versions(spark, sf_dir)
+    return fi.baseline_tag(new, old, "file", "check_id", "sig").select("event_id", "in_baseline")
+
+
+@query(f"""WITH {_BASE_SQL}, a AS (SELECT check_id, sig, count(*) AS n FROM old GROUP BY 1, 2), b AS (SELECT check_id, sig, count(*) AS n FROM new GROUP BY 1, 2)
+SELECT * FROM (SELECT check_id, sig, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS added, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS removed FROM a FULL JOIN b USING (check_id, sig)) WHERE added > 0 OR removed > 0""")
+def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.baseline_delta(*_versions(spark, sf_dir), "check_id", "sig")
+
+
+@query(f"""WITH {_BASE_SQL} SELECT DISTINCT file, check_id, sig, 'fire' AS change FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.file = new.file AND old.sig = new.sig)
+UNION ALL SELECT DISTINCT file, check_id, sig, 'clear' FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE old.file = new.file AND old.sig = new.sig)""")
+def would_fire_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.would_fire_clear(*_versions(spark, sf_dir), "file", "check_id", "sig")
+
+
+@query(f"WITH {_BASE_SQL} SELECT event_id FROM old WHERE EXISTS (SELECT 1 FROM new WHERE old.file = new.file AND old.sig = new.sig)")
+def baseline_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the baseline still occurs."""
+    old, new = _versions(spark, sf_dir)
+    return old.join(new, ["file", "sig"], "left_semi").select("event_id")
+
+
+def _categories() -> Column:
+    return F.when(F.col("check_id").isin("error", "view"), F.lit("page")).otherwise(F.lit("money"))
+
+
+_CATEGORY_SQL = "CASE WHEN check_id IN ('error', 'view') THEN 'page' ELSE 'money' END"
+_BUDGETS = [("error", 100), ("page", 5000), ("signup", 10**9), ("unknown", 0)]
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT check_id, NULL AS category, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT NULL, {_CATEGORY_SQL}, count(*) FROM f GROUP BY 2")
+def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.rollup(findings(spark, sf_dir), _categories())
+
+
+_ACTUAL_SQL = f"""WITH {_FINDINGS_SQL}, c AS (SELECT check_id AS name, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT {_CATEGORY_SQL}, count(*) FROM f GROUP BY 1),
+b AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::BIGINT)" for k, v in _BUDGETS)}) t(name, budget))"""
+
+
+def _actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.over_budget(fi.rollup(findings(spark, sf_dir), _categories()), spark.createDataFrame(_BUDGETS, "name string, budget long"))
+
+
+@query(f"{_ACTUAL_SQL} SELECT name, budget, coalesce(n, 0) AS actual FROM b LEFT JOIN c USING (name) WHERE coalesce(n, 0) > budget")
+def budget_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _actual(spark, sf_dir).where("actual > budget")
+
+
+@query(f"{_ACTUAL_SQL} SELECT name, least(budget, coalesce(n, 0)) AS budget FROM b LEFT JOIN c USING (name)")
+def ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets after lowering; they never rise."""
+    return _actual(spark, sf_dir).select("name", F.least("budget", "actual").alias("budget"))
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id, CASE WHEN file >= 100 AND check_id = 'error' THEN 'off' WHEN file BETWEEN 10 AND 19 THEN 'high' ELSE 'normal' END AS severity FROM f")
+def override_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("u/"), F.col("file").cast("string"))
+    rules = [(paths.matches(path, "u/1[0-9]", True), None, "high"), (paths.matches(path, "u/[0-9][0-9][0-9]*", True), "error", "off")]
+    return findings(spark, sf_dir).select("event_id", fi.override(F.lit("normal"), path, F.col("check_id"), rules).alias("severity"))
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id, check_id, priority FROM f ORDER BY priority DESC, check_id, file, line, event_id")
+def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fi.ranked(findings(spark, sf_dir)).select("event_id", "check_id", "priority")
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id, (SELECT count(*) FROM f) AS n_all FROM f ORDER BY priority DESC, check_id, file, line, event_id LIMIT 50")
+def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty of the report, with how many there are."""
+    f = findings(spark, sf_dir)
+    return fi.ranked(f).limit(50).select("event_id", F.lit(f.count()).cast("long").alias("n_all"))
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id, row_number() OVER (PARTITION BY file, check_id ORDER BY priority DESC, event_id) AS turn FROM f")
+def digest_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir).withColumn("provider", F.concat_ws("/", "file", "check_id"))
+    return fi.round_robin(f, "provider", "priority", "event_id").select("event_id", "turn")
+
+
+@query()
+def digest_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in order of their numbers, as many as fit a budget of tokens."""
+    items = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (paths.token_estimate(F.col("text")) + 20).alias("tokens"))
+    return fi.budgeted(items, 4000, "tokens", "doc_id")
+
+
+_GAP = 6 * 3600
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL {_GAP} SECOND THEN 0 ELSE 1 END AS starts FROM events),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY user_id, k""")
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.sessions(table(spark, sf_dir, "events"), "user_id", "ts", _GAP)
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1")
+def incremental_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the table's files, batch by batch; its end equals the batch result."""
+    path = f"{sf_dir}/events.parquet"
+    source = watch.files(spark, path, spark.read.parquet(path).schema)
+    step = lambda batch: batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    return watch.incremental(source, step, ["user_id"], {"n": F.sum, "top": F.max})
