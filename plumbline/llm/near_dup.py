@@ -8,9 +8,9 @@ chance (1 - (1 - p) ** SKETCHES) ** 2, 0.9998 at a similarity of 0.8 and more ab
 1.  Documents with equal shingle sets form a class; its smallest id stands for it.
 2.  A key can only be shared if both its sketches are, so sketches that one class alone has
     are dropped before any key is formed.
-3.  Classes in a bucket are compared with two pivots of it, not with each other, and exact
-    links join classes into components; then with two more where the first left several
-    components.  Only where a bucket then still holds several
+3.  A class is compared with two pivots of its buckets, not with all that share one, and exact
+    links join classes into components.  Where a bucket then holds several components, its
+    classes are compared with pivots of it that lie in other components, twice.  Only where a bucket then still holds several
     components are its other pairs looked at: those of different components that share one of
     their rarest shingles and whose sketch bits do not rule a link out (six standard
     deviations).
@@ -228,43 +228,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .select(F.xxhash64("x.t", "x.v", "y.t", "y.v").alias("key"), "doc_id")
     )
     keys = written(keys, "keys")
-    buckets = keys.groupBy("key").agg(
-        F.min("doc_id").alias("p1"),
-        F.max("doc_id").alias("p2"),
-        F.min_by("doc_id", F.xxhash64("doc_id")).alias("p3"),
-        F.max_by("doc_id", F.xxhash64("doc_id")).alias("p4"),
-    )
-    buckets = written(buckets.where("p1 < p2"), "buckets")
-    members = written(keys.join(buckets, "key").select("key", "doc_id", "p1", "p2", "p3", "p4"), "members")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("p1"), F.max("doc_id").alias("__last"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("p2"))
+    buckets = written(buckets.where("p1 < __last").drop("__last"), "buckets")
+    members = written(keys.join(buckets, "key").select("key", "doc_id", "p1", "p2"), "members")
     bits = reps.select("doc_id", "bits")
     wanted = written(members.select("doc_id").distinct(), "candidates")
     texts = written(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
 
-    def stars(rows: DataFrame, *pivots: str) -> DataFrame:
-        met = rows.select(F.explode(F.array(*pivots)).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    def stars(rows: DataFrame) -> DataFrame:
+        """Pairs of doc_id with each of ``pivots``, an array, once each."""
+        met = rows.select(F.explode("pivots").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def possible(pairs: DataFrame) -> DataFrame:
         x = pairs.join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b")), "b").join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a")
         return x.where(_may_link(F.col("bits_a"), F.col("bits_b"), percent)).select("a", "b")
 
-    pairs = written(possible(stars(members, "p1", "p3")), "pairs")
-    links = written(confirmed(pairs, texts, width, percent), "links")
-    labels = components(links)
-
-    # the other two pivots, in the buckets where the first two left several components
     def is_open(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
-    first = written(labelled(members.select("key", "doc_id", "p2", "p4")), "placed-first")
-    second = stars(first.join(is_open(first), "key", "left_semi"), "p2", "p4").join(pairs, ["a", "b"], "left_anti")
-    second = written(possible(second), "pairs")
-    pairs = pairs.unionByName(second)
-    links = links.unionByName(written(confirmed(second, texts, width, percent), "links"))
+    # first the two pivots that come first over all buckets of a class; then, where a bucket still
+    # holds several components, classes against pivots of other components in it
+    nearest = members.groupBy("doc_id").agg(F.min("p1").alias("p1"), F.min_by("p2", F.xxhash64("p2")).alias("p2"))
+    pairs = written(possible(stars(nearest.select("doc_id", F.array("p1", "p2").alias("pivots")))), "pairs")
+    links = written(confirmed(pairs, texts, width, percent), "links")
     labels = components(links)
+    one, mixed = F.struct("doc_id", "label"), F.xxhash64("doc_id")
+    for chosen in ((F.min(one), F.min_by(one, mixed)), (F.max(one), F.max_by(one, mixed))):
+        rows = written(labelled(members.select("key", "doc_id")), "placed-so-far")
+        rows = rows.join(is_open(rows), "key", "left_semi")
+        pivots = rows.groupBy("key").agg(F.array(*chosen).alias("p"))
+        met = rows.join(pivots, "key").select("doc_id", F.transform(F.filter("p", lambda x: x["label"] != F.col("label")), lambda x: x["doc_id"]).alias("pivots"))
+        more = written(possible(stars(met).join(pairs, ["a", "b"], "left_anti")), "pairs")
+        pairs = pairs.unionByName(more)
+        links = links.unionByName(written(confirmed(more, texts, width, percent), "links"))
+        labels = components(links)
 
     # buckets that still hold several components: pairs across them, not looked at yet
     placed = written(labelled(members.select("key", "doc_id")), "placed")
