@@ -10,7 +10,7 @@ chance (1 - (1 - p) ** SKETCHES) ** 2, 0.9998 at a similarity of 0.8 and more ab
     are dropped before any key is formed.
 3.  A class is compared with two pivots of its buckets, not with all that share one, and exact
     links join classes into components.  Where a bucket then holds several components, its
-    classes are compared with pivots of it that lie in other components, twice.  Only where a bucket then still holds several
+    classes are compared with two pivots of it that lie in other components.  Only where a bucket then still holds several
     components are its other pairs looked at: those of different components that share one of
     their rarest shingles and whose sketch bits do not rule a link out (six standard
     deviations).
@@ -256,15 +256,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = written(possible(stars(nearest.select("doc_id", F.array("p1", "p2").alias("pivots")))), "pairs")
     links = written(confirmed(pairs, texts, width, percent), "links")
     labels = components(links)
-    one, mixed = F.struct("doc_id", "label"), F.xxhash64("doc_id")
-    for chosen in ((F.min(one), F.min_by(one, mixed)), (F.max(one), F.max_by(one, mixed))):
-        rows = written(labelled(members.select("key", "doc_id")), "placed-so-far")
-        rows = rows.join(is_open(rows), "key", "left_semi")
-        pivots = rows.groupBy("key").agg(F.array(*chosen).alias("p"))
-        met = rows.join(pivots, "key").select("doc_id", F.transform(F.filter("p", lambda x: x["label"] != F.col("label")), lambda x: x["doc_id"]).alias("pivots"))
-        more = written(possible(stars(met).join(pairs, ["a", "b"], "left_anti")), "pairs")
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(written(confirmed(more, texts, width, percent), "links"))
+    rows = written(labelled(members.select("key", "doc_id")), "placed-so-far")
+    rows = rows.join(is_open(rows), "key", "left_semi")
+    one = F.struct("doc_id", "label")
+    pivots = rows.groupBy("key").agg(F.array(F.min(one), F.max_by(one, F.xxhash64("doc_id"))).alias("p"))
+    met = rows.join(pivots, "key").select("doc_id", F.transform(F.filter("p", lambda x: x["label"] != F.col("label")), lambda x: x["doc_id"]).alias("pivots"))
+    second = written(possible(stars(met).join(pairs, ["a", "b"], "left_anti")), "pairs")
+    if second.limit(1).count():
+        pairs = pairs.unionByName(second)
+        links = links.unionByName(written(confirmed(second, texts, width, percent), "links"))
         labels = components(links)
 
     # buckets that still hold several components: pairs across them, not looked at yet
