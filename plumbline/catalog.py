@@ -221,6 +221,17 @@ def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.similar_sets(table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), words.alias("tokens")))
 
 
+@query("""WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS t FROM documents),
+k AS (SELECT t, min(doc_id) AS class_id, count(*) AS n FROM s WHERE len(t) > 0 GROUP BY t), e AS (SELECT class_id, n, len(t) AS size, unnest(t) AS w FROM k),
+p AS (SELECT x.class_id AS a, y.class_id AS b, y.n, x.size AS xs, y.size AS ys, count(*) AS n_both FROM e x JOIN e y ON x.w = y.w AND x.class_id <> y.class_id GROUP BY 1, 2, 3, 4, 5),
+l AS (SELECT a, sum(n) AS near FROM p WHERE 100 * n_both >= 80 * (xs + ys - n_both) GROUP BY a)
+SELECT doc_id, class_id, coalesce(n - 1 + coalesce(near, 0), 0)::BIGINT AS n_links FROM s LEFT JOIN k ON s.t = k.t LEFT JOIN l ON l.a = k.class_id""")
+def similarity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class in ``similarity_join`` and its number of similar documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    return windows.similar_members(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"))).withColumnRenamed("id", "doc_id")
+
+
 _LINES_SQL = r"""l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents),
 w AS (SELECT doc_id, k::BIGINT AS at_, array_to_string(lines[k : k + 2], chr(10)) AS content FROM l, unnest(range(1, len(lines) - 1)) AS r(k)),
 g AS (SELECT * FROM w WHERE length(content) >= 80)"""
