@@ -11,7 +11,7 @@ an empty table with the same columns.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,9 @@ LIMITS = (
     Limit("repeat_word_ratio", most=0.50),
 )
 
+#: What a document needs to stay in a corpus: the same without the bound on length, which is no fault.
+KEEP_LIMITS = tuple(replace(x, most=None) if x.measure == "n_words" else x for x in LIMITS)
+
 
 def _n_repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice in the array.
@@ -147,8 +150,8 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def keep_good(docs: DataFrame, limits: tuple[Limit, ...] = LIMITS) -> DataFrame:
-    """The documents that pass, with the columns of the input."""
+def keep_good(docs: DataFrame, limits: tuple[Limit, ...] = KEEP_LIMITS) -> DataFrame:
+    """The documents that pass, however long, with the columns of the input."""
     own = [f"`{c}`" for c in docs.columns]
     if "kept" in {c.lower() for c in docs.columns}:
         raise ValueError("a column named kept would be lost")
