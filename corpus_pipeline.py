@@ -20,9 +20,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest id."""
-    dropped = near_dup.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.join(written(dropped.distinct(), "dropped"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near-duplicates stays: that with the smallest doc_id (null last),
+    of those the one whose text hashes lowest.  Rows go by a key of their own, so that those which
+    repeat a doc_id, or have none, are judged each by its text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), row), "keyed")
+    found = near_dup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text"), width=5, percent=80)
+    # only groups of several rows are ordered; the others stay as they are
+    found = written(found.select(F.col("doc_id").alias("key"), "component_id"), "groups")
+    several = written(found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "large-groups")
+    grouped = written(found.join(several, "component_id", "left_semi"), "grouped")
+    place = F.struct(F.col("row.doc_id").isNull().alias("nameless"), F.col("row.doc_id").alias("doc_id"), F.sha2("row.text", 256).alias("text"), "key")
+    placed = grouped.join(keyed.select("key", place.alias("place")), "key")
+    first = written(placed.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias("key")), "first")
+    dropped = written(grouped.join(first, "key", "left_anti").select("key"), "dropped")
+    return keyed.join(dropped, "key", "left_anti").select("row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
