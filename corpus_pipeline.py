@@ -61,8 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packed", packed),
 ]
 
-#: Tokens and similar sets have no SQL form.  The tests hold the stages quality and near_duplicates to
-#: the rows expected of small tables; no test runs the pipeline as a whole.
+#: Tokens and similar sets have no SQL form; tests/llm/test_whole_pipeline.py holds the pipeline against brute force.
 ORACLE_SQL: str | None = None
 
 
