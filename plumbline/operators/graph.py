@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.cut import written
+from plumbline.cut import mark, release, written
 
 
 def closure(edges: DataFrame, most_depth: int | None = None) -> DataFrame:
@@ -29,9 +29,17 @@ def bfs(edges: DataFrame, starts: DataFrame, most_depth: int | None = None) -> D
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest node reachable without regard to direction."""
-    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    """(id, label): the smallest node reachable without regard to direction, of every node of
+    ``edges`` (src, dst).
+
+    Each round takes the smallest label among neighbours (combined before the shuffle) and then the
+    label of that label.  Labels only fall, so the rounds end when one changes none; tables of
+    rounds before the last two are deleted."""
+    spark = edges.sparkSession
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    both = written(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    start = mark(spark)
     while True:
         near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("label").alias("near"))
         met = written(labels.join(near, labels["id"] == near["src"], "left").select("id", "label", F.least("label", "near").alias("new")), "labels")
@@ -39,6 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = written(met.join(far, "new").select("id", "label", F.least("new", "far").alias("new")), "labels")
         done = not jumped.where("new < label").limit(1).count()
         labels = jumped.select("id", F.col("new").alias("label"))
+        release(spark, start, keep=1)
         if done:
             return labels
 
