@@ -1,27 +1,15 @@
-"""Connected components of an edge table, by smallest label with pointer jumping."""
+"""Connected components of an edge table of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) of every id in ``edges`` (a, b); label is the smallest id reachable.
-
-    Each round takes the smallest label among neighbours (combined before the shuffle) and
-    then the label of that label; every round is a written table.  Labels only fall, so the
-    rounds end when a round changes none."""
-    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "id"), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        met = written(labels.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", "label", F.least("label", "near").alias("new")), "labels")
-        of = met.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        jumped = written(met.join(of, "new").select("id", "label", F.least("new", "far").alias("new")), "labels")
-        changed = jumped.where("new < label").limit(1).count()
-        labels = jumped.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels
+    """(id, label) of every id in ``edges`` (a, b) that has a link to another; label is the smallest
+    id reachable.  Links with a null end and links of an id with itself count for nothing; repeated
+    links count once; an empty table gives an empty one."""
+    return graph.components(edges.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
