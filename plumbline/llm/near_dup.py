@@ -21,7 +21,7 @@ written tables, which adaptive execution splits; no group is ever collected.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are
 kept; rows with a null doc_id have a null component and are kept; rows that repeat a doc_id
-count as that document; an empty table gives an empty one.
+are one document, which has the links of all its texts; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import finished, mark, written
 from plumbline.llm.components import components
 
 ROWS = 4
@@ -208,8 +208,37 @@ def _prefix_pairs(inside: DataFrame, texts: DataFrame, bits: DataFrame, width: i
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    known = docs.where("doc_id IS NOT NULL")
+    since = mark(docs.sparkSession)
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(sketched(known, width), "sketches")
+    own = F.struct("n_shingles", "fp1", "fp2")
+    several = sketches.groupBy("doc_id").agg(F.min(own).alias("a"), F.max(own).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
+    if several.limit(1).count():
+        out = _by_row(known, width, percent)
+    else:
+        out = _by_id(known, sketches, width, percent)
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    nameless = sketched(docs.where("doc_id IS NULL"), width).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return finished(out.unionByName(nameless), "near-duplicates", since)
+
+
+def _by_row(known: DataFrame, width: int, percent: int) -> DataFrame:
+    """Where an id has several texts: rows are linked under keys of their own, then the rows of one
+    id, whose components become one, named by its smallest id."""
+    keyed = written(known.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
+    rows = keyed.select(F.col("key").alias("doc_id"), "text")
+    found = _by_id(rows, written(sketched(rows, width), "sketches"), width, percent)
+    found = written(found.withColumnRenamed("doc_id", "key").join(keyed.select("key", "doc_id"), "key"), "named")
+    one = found.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    edges = written(found.join(one, "doc_id").select("a", F.col("component_id").alias("b")).where("a <> b").distinct(), "same-id")
+    labels = components(edges).withColumnRenamed("id", "component_id")
+    placed = written(found.join(labels, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "component_id").alias("label")), "placed")
+    names = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(names, "label").select("doc_id", "n_shingles", "component_id")
+
+
+def _by_id(known: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, where all rows of an id have the same set."""
     prints = ["fp1", "fp2"]
     full = sketches.where("n_shingles > 0")
     shared_sets = written(full.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("__last")).where("rep < __last").select(*prints, "rep"), "classes")
@@ -233,7 +262,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = written(keys.join(buckets, "key").select("key", "doc_id", "p1", "p2"), "members")
     bits = reps.select("doc_id", "bits")
     wanted = written(members.select("doc_id").distinct(), "candidates")
-    texts = written(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    # rows that repeat an id have one set here: any of their texts stands for it
+    texts = written(known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
 
     def stars(rows: DataFrame) -> DataFrame:
         """Pairs of doc_id with each of ``pivots``, an array, once each."""
@@ -277,7 +307,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = written(confirmed(written(cross.join(pairs, ["a", "b"], "left_anti"), "cross-pairs"), texts, width, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    out = classed.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    nameless = written(sketched(docs.where("doc_id IS NULL"), width), "nameless").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(nameless)
+    return classed.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

@@ -63,6 +63,26 @@ def test_loose_groups(spark, width) -> None:
     assert sorted(map(tuple, got), key=order) == sorted(brute(rows, width, 80), key=order)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_an_id_with_several_texts_keeps_the_links_of_all(spark, parts) -> None:
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(4)]
+    near = lambda k: texts[k] + " end"
+    rows = [(1, near(0)), (2, texts[0]), (2, texts[0]), (5, texts[1]), (5, near(0)), (6, near(1)), (7, texts[2]), (8, texts[3]), (8, ""), (9, near(3)), (10, None), (10, texts[2]), (None, texts[0])]
+    rows = [(d, t, "en", "s", 0) for d, t in rows]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(parts), width=4).collect()
+    assert sorted(map(tuple, got), key=order) == sorted(brute(rows, 4, 80), key=order)
+
+
+def test_tables_on_the_way_are_deleted(spark, odd) -> None:
+    from plumbline import cut
+
+    since = cut.mark(spark)
+    got = near_duplicates(odd, width=4)
+    assert cut.mark(spark) == since + 1 and got.count() == len(odd_rows())
+    assert cut.release(spark, since) == 1
+
+
 def test_nothing(empty) -> None:
     assert near_duplicates(empty).count() == 0
 
