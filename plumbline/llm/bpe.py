@@ -6,15 +6,23 @@ it is a space.  So a text parts into words (with the space that leads them), and
 blanks, which are encoded one by one without changing a single id.  Pieces repeat far more
 often than texts: a block of texts is parted and its distinct pieces are numbered in native
 code, the memo gives the ids of each, the tokenizers library encodes those not seen yet, and
-ids are gathered by arrays.
+ids are gathered by arrays.  That holds for byte-level BPE with the pre-tokenizer's own
+pattern and no normalizer; the file's kind is read when it is loaded, and texts of any other
+tokenizer, or that hold the string of an added token, go to the library whole.
+
+Defined results: ids are those of the library with add_special_tokens=False; the string of a
+special token in a text is therefore that token (with ``ordinary_specials`` it is ordinary
+text); a null or empty text has no ids; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
 from itertools import islice, repeat
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -56,23 +64,33 @@ def pieces_of(text: str) -> list[str]:
     return _PIECE.findall(text)
 
 
-class WordEncoder:
-    """Encodes texts to ids; remembers at most ``memo_pieces`` pieces.
+def is_byte_level(tokenizer: Any) -> bool:
+    """Whether a text's ids are those of its words and runs of blanks, one after the other."""
+    held = json.loads(tokenizer.to_str())
+    model, cut, after = held["model"], held["pre_tokenizer"] or {}, held["post_processor"] or {"type": "ByteLevel"}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return model["type"] == "BPE" and plain and cuts and held["normalizer"] is None and after["type"] == "ByteLevel" and len(tokenizer.encode("\n", add_special_tokens=False).ids) == 1
 
-    Strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES) -> None:
+class WordEncoder:
+    """Encodes texts to ids; remembers at most ``memo_pieces`` pieces."""
+
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES, ordinary_specials: bool = False) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = ordinary_specials
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._limit = memo_pieces
         self.vocabulary = self._tokenizer.get_vocab_size()
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._added = [t.content for t in added if not (ordinary_specials and t.special)]
+        self._by_words = is_byte_level(self._tokenizer)
+        if not self._by_words:
+            return
         self._newline = self._ids("\n")
-        if len(self._newline) != 1:
-            raise ValueError("the tokenizer has no id of its own for a newline")
         self._marks = {m: int(self._ids(m)[0]) for m in _MARKS if len(self._ids(m)) == 1}
         self._model = Tokenizer(self._tokenizer.model)
         self._model.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[ord("\n")], "isolated")
@@ -90,6 +108,8 @@ class WordEncoder:
         out: list[bytes] = []
         block: list[str] = []
         held = 0
+        if not self._by_words:
+            return [self._ids(x or "").tobytes() for x in texts]
         for text in texts:
             block.append(text or "")
             held += len(block[-1])
@@ -102,9 +122,12 @@ class WordEncoder:
         """Cuts at spaces and newlines; texts where that gave an odd piece are cut by the pattern."""
         if not texts:
             return []
-        simple = [k for k, x in enumerate(texts) if x and _MARK not in x]
         out: list[bytes] = [b""] * len(texts)
-        slow = [k for k, x in enumerate(texts) if x and _MARK in x]
+        whole = {k for k, x in enumerate(texts) if any(a in x for a in self._added)}
+        for k in whole:
+            out[k] = self._ids(texts[k]).tobytes()
+        simple = [k for k, x in enumerate(texts) if x and _MARK not in x and k not in whole]
+        slow = [k for k, x in enumerate(texts) if x and _MARK in x and k not in whole]
         if simple:
             joined = _MARK.join([texts[k] for k in simple]).replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK)
             counts = np.array([texts[k].count(" ") + 2 * texts[k].count("\n") + 1 for k in simple])

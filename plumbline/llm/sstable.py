@@ -95,6 +95,14 @@ class Writer:
     def _new_block(self) -> None:
         self._block, self._held, self._restarts, self._since, self._last = [], 0, [0], 0, b""
 
+    @property
+    def first(self) -> bytes:
+        return self._keys[0]
+
+    @property
+    def last(self) -> bytes:
+        return self._keys[-1]
+
     def add(self, key: bytes, value: bytes) -> None:
         if self._keys and key <= self._keys[-1]:
             raise ValueError("keys must ascend")
@@ -155,6 +163,7 @@ class Reader:
         if magic != MAGIC:
             raise ValueError("not a shard")
         self._filter: bytes | None = None
+        self._held: tuple[int, bytes] = (-1, b"")  # the last block read
         self._index_at = index_at
         data, at = self._at(index_at, end - index_at), 0
         self.last_keys: list[bytes] = []
@@ -171,10 +180,12 @@ class Reader:
         return self._file.read(n)
 
     def _block(self, k: int) -> bytes:
-        data = self._at(*self.places[k])
-        if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
-            raise ValueError("a block is damaged")
-        return self._unpack(data[:-4])
+        if self._held[0] != k:
+            data = self._at(*self.places[k])
+            if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+                raise ValueError("a block is damaged")
+            self._held = (k, self._unpack(data[:-4]))
+        return self._held[1]
 
     @staticmethod
     def _entries(raw: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
@@ -233,7 +244,7 @@ def open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
 
-_SHARD = "path string, part int, number int, entries long, ids long, bytes long"
+_SHARD = "path string, part int, number int, entries long, ids long, bytes long, first binary, last binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -261,7 +272,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_byt
             stream.close()
             name = f"part-{part:06d}-{number:04d}.sst"
             fs.move(held, posixpath.join(root, name))
-            done.append((f"{path}/{name}", part, number, writer.entries, writer.ids, writer.size))
+            done.append((f"{path}/{name}", part, number, writer.entries, writer.ids, writer.size, writer.first, writer.last))
             stream = writer = None
             number += 1
 
@@ -280,9 +291,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_byt
                         close()
         if writer is not None:
             close()
-        columns = list(zip(*done, strict=True)) if done else [[]] * 6
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "part", "number", "entries", "ids", "bytes"])
+        columns = list(zip(*done, strict=True)) if done else [[]] * 8
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SHARD.split(", ")])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = slim.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -316,6 +327,52 @@ def read(shards: DataFrame) -> DataFrame:
     return placed.repartition(F.col("path")).mapInArrow(entries, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(shards: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 of every entry under the distinct ``doc_id`` of ``ids``, by key:
+    the shards whose range holds an id, then per shard its filter, its index and one block.
+
+    Ids that no shard holds give no row; null asks for entries without an id; an id that repeats
+    gives a row per entry.  The ranges (one row per shard, a 256 MB file) go to all tasks."""
+    ranges = sorted((bytes(r["first"][:9]), bytes(r["last"][:9]), r["path"]) for r in shards.select("first", "last", "path").collect())
+    lasts = [r[1] for r in ranges]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, wanted = [], []
+            for doc_id in batch.column(0).to_pylist():
+                key = key_of(doc_id)[:9]
+                k = bisect.bisect_left(lasts, key)
+                while k < len(ranges) and ranges[k][0] <= key:
+                    paths.append(ranges[k][2])
+                    wanted.append(doc_id)
+                    k += 1
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(wanted, pa.int64())], ["path", "doc_id"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, file, reader = None, None, None
+        try:
+            for batch in batches:
+                rows = []
+                for path, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if path != held:
+                        if file is not None:
+                            file.close()
+                        fs, name = open_fs(path)
+                        held, file = path, fs.open_input_file(name)
+                        reader = Reader(file)
+                    for value in reader.get(doc_id):
+                        ids = np.frombuffer(value, f"<u{reader.id_bytes}").astype(bpe.ID_TYPE)
+                        rows.append((doc_id, len(ids), bpe.crc(ids.tobytes())))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "n_tokens", "ids_crc32"])
+        finally:
+            if file is not None:
+                file.close()
+
+    wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(placed, "path string, doc_id long")
+    return wanted.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(found, "doc_id long, n_tokens long, ids_crc32 long")
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -20,7 +20,6 @@ from .conftest import odd_rows, random_texts
 @pytest.fixture(scope="module")
 def ids_of():
     tok = Tokenizer.from_file(bpe.default_path())
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def ids(text: str | None) -> list[int]:
         return [*tok.encode(text or "", add_special_tokens=False).ids, 0]
@@ -40,6 +39,29 @@ def test_memo_gives_the_tokenizers_ids(ids_of) -> None:
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t)[:-1] for t in texts]
 
 
+def test_special_tokens_and_other_kinds_of_file() -> None:
+    import public_tokenizers
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n\x00y", "<|endof text|>", "", "plain words here"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        for ordinary in (False, True):
+            tok = Tokenizer.from_file(public_tokenizers.path(name))
+            tok.encode_special_tokens = ordinary
+            got = bpe.WordEncoder(public_tokenizers.path(name), ordinary_specials=ordinary).encode(texts)
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe.is_byte_level(Tokenizer.from_file(bpe.default_path())) and not bpe.is_byte_level(tok)
+
+
+def test_distributed_lookup(spark, odd, ids_of) -> None:
+    shards = written(sstable.write(odd, sstable.shard_path(odd), bpe.default_path(), shard_bytes=1), "shards")
+    assert shards.count() > 2
+    asked = [1, 5, 7, 7, None, 100, 131, -3, 9999, -10**15, 2**62]
+    got = Counter(map(tuple, sstable.lookup(shards, spark.createDataFrame([(x,) for x in asked], "doc_id long")).collect()))
+    want = Counter((r[0], len(ids_of(r[1])), crc(ids_of(r[1]))) for r in odd_rows() if r[0] in asked)
+    assert got == want
+    assert sstable.lookup(shards, odd.where("false")).count() == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab.,'!1 \n\té\U0001f600A"), max_size=40), max_size=6))
 def test_memo_on_any_text(texts: list[str]) -> None:
