@@ -8,8 +8,10 @@ symbol by symbol, each round; the scaled forward recursion gives the exact likel
 every whole text.
 
 Counts of the HEAD_WORDS most frequent words go to all tasks (a fixed number of entries);
-those of all other words are joined.  Training cuts long texts into SEGMENT tokens; scoring
-does not cut.
+those of all other words are joined.  Training runs over whole texts: a long one is worked on in
+segments of SEGMENT tokens that share a token with the next, and the exact forward and backward
+vectors at their ends come from the segments' transfer matrices, so every transition counts and
+a start is a text's first token only.
 
 Defined results: a null text counts as empty, whose only token is the end; a null doc_id
 counts as training; repeated rows are counted and scored each; without training documents
@@ -29,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import finished, mark, written
 
 HEAD_WORDS = 100_000
 SYMBOL_WORDS = 8_192
 CLASSES = 2_048
 STATES = 6
 ROUNDS = 5
-SEGMENT = 256
+SEGMENT = 1_024
 CHUNK_TOKENS = 400_000
 SCORE_TOKENS = 3_000_000
 FLUSH_WORDS = 1_000_000
@@ -123,7 +125,7 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     partial = _slim(docs).mapInArrow(count, "word binary, c long, class int")
     table = written(partial.groupBy("word", "class").agg(F.sum("c").alias("c")).where("c > 0"), "vocabulary")
     words = table.where("word IS NOT NULL")
-    top = words.orderBy(F.desc("c"), "word").limit(HEAD_WORDS).select("word", "c").toPandas()  # a fixed number of rows
+    top = most_frequent(words, HEAD_WORDS).toPandas()  # at most HEAD_WORDS rows of a stored table
     ranked = [bytes(w) for w in top["word"]]
     class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     total = distinct = ends = 0
@@ -139,6 +141,19 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return words, Vocabulary(total, distinct, ends, {w: k for k, w in enumerate(ranked)}, top["c"].to_numpy(np.int64), class_total, class_distinct)
 
 
+def most_frequent(words: DataFrame, k: int) -> DataFrame:
+    """The ``k`` words of the largest counts (ties by word), as a written table.  Words below the
+    level of counts that the first ``k`` reach are left out before any are ordered."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    seen = words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # at most 8 * 63 rows
+    least, upto = 0, 0
+    for r in seen:
+        least, upto = r["level"], upto + r["n"]
+        if upto >= k:
+            break
+    return written(words.where(level >= least).orderBy(F.desc("c"), "word").limit(k).select("word", "c"), "head-words")
+
+
 _SEQUENCE = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, symbols array<int>, tail array<struct<word:binary,n:int>>"
 
 
@@ -225,10 +240,84 @@ def _by_step(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, laid, edges
 
 
-def expected(parts: list[np.ndarray], m: Model, emit_counts: np.ndarray, move_counts: np.ndarray, start_counts: np.ndarray) -> float:
-    """Adds one block's forward-backward counts; gives its log10 likelihood.  States come first
-    in all arrays, so that sums over them run along whole steps."""
-    _, laid, edges = _by_step(parts)
+def transfers(parts: list[np.ndarray], m: Model) -> np.ndarray:
+    """By part the matrix (state of the last token, state of the first) of the chances to pass
+    through all its tokens but the first, up to a factor."""
+    order, laid, edges = _by_step(parts)
+    k = len(m.start)
+    emit, forth = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+    held = np.repeat(np.eye(k)[:, :, None], len(parts), axis=2)
+    for t in range(1, len(edges) - 1):
+        lo, hi = edges[t], edges[t + 1]
+        n = hi - lo
+        now = (forth @ held[:, :, :n].reshape(k, -1)).reshape(k, k, n)
+        now *= emit.take(laid[lo:hi], axis=1)[:, None]
+        if t % 16 == 0:
+            now /= now.max(axis=(0, 1))
+        held[:, :, :n] = now
+    out = np.empty((len(parts), k, k))
+    out[order] = held.transpose(2, 0, 1) / held.max(axis=(0, 1))[:, None, None]
+    return out
+
+
+@dataclass
+class Piece:
+    """Tokens of a text; ``entry`` is the forward vector at the first of them (None: the text
+    starts there), ``leave`` the backward vector at the last, up to a factor (None: it ends there)."""
+
+    tokens: np.ndarray
+    entry: np.ndarray | None = None
+    leave: np.ndarray | None = None
+
+
+def _blocks(sizes: list[int]) -> Iterator[slice]:
+    """Runs of about CHUNK_TOKENS tokens."""
+    first = held = 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held > CHUNK_TOKENS or k == len(sizes) - 1:
+            yield slice(first, k + 1)
+            first, held = k + 1, 0
+
+
+def pieces_of(parts: list[np.ndarray], m: Model, segment: int = SEGMENT) -> list[Piece]:
+    """The texts, long ones cut so that a piece's last token is the next one's first."""
+    out = [Piece(p) for p in parts if len(p) <= segment + 1]
+    cut = [[p[a : a + segment + 1] for a in range(0, len(p) - 1, segment)] for p in parts if len(p) > segment + 1]
+    flat = [x for own in cut for x in own]
+    through = np.concatenate([transfers(flat[run], m) for run in _blocks([len(x) for x in flat])]) if flat else np.empty(0)
+    at = 0
+    for own in cut:
+        matrices = through[at : at + len(own)]
+        at += len(own)
+        a = m.start * m.emit[own[0][0]]
+        entries = [None]
+        for t in matrices[:-1]:
+            a = t @ a
+            a /= a.sum()
+            entries.append(a)
+        b = np.ones(len(a))
+        leaves = [None]
+        for t in matrices[:0:-1]:
+            b = b @ t
+            b /= b.max()
+            leaves.append(b)
+        out += [Piece(x, e, z) for x, e, z in zip(own, entries, reversed(leaves), strict=True)]
+    return out
+
+
+def expected(parts: list[np.ndarray], m: Model, emit_counts: np.ndarray, move_counts: np.ndarray, start_counts: np.ndarray, segment: int = SEGMENT) -> float:
+    """Adds the forward-backward counts of whole texts; gives their log10 likelihood."""
+    pieces = pieces_of(parts, m, segment)
+    return sum(_expected(pieces[run], m, emit_counts, move_counts, start_counts) for run in _blocks([len(p.tokens) for p in pieces]))
+
+
+def _expected(pieces: list[Piece], m: Model, emit_counts: np.ndarray, move_counts: np.ndarray, start_counts: np.ndarray) -> float:
+    """One block's counts.  States come first in all arrays, so that sums over them run along
+    whole steps."""
+    order, laid, edges = _by_step([p.tokens for p in pieces])
+    pieces = [pieces[k] for k in order]
+    going_on = np.array([p.entry is not None for p in pieces])
     states = len(m.start)
     e = np.ascontiguousarray(m.emit.T).take(laid, axis=1)
     alpha = np.empty((states, len(laid)))
@@ -236,6 +325,8 @@ def expected(parts: list[np.ndarray], m: Model, emit_counts: np.ndarray, move_co
     forth, back = np.ascontiguousarray(m.move.T), m.move
     steps = len(edges) - 1
     a = m.start[:, None] * e[:, : edges[1]]
+    for k in np.flatnonzero(going_on):
+        a[:, k] = pieces[k].entry
     for t in range(steps):
         lo, hi = edges[t], edges[t + 1]
         if t:
@@ -244,17 +335,21 @@ def expected(parts: list[np.ndarray], m: Model, emit_counts: np.ndarray, move_co
         s = a.sum(axis=0)
         a /= s
         alpha[:, lo:hi], scale[lo:hi] = a, s
+    scale[: edges[1]][going_on] = 1.0
     e /= scale
     moved = np.zeros((states, states))
-    beta = np.ones((states, edges[1]))
+    ones = np.ones(states)
+    beta = np.array([ones if p.leave is None else p.leave for p in pieces]).T
+    beta = beta / (alpha[:, edges[np.array([len(p.tokens) for p in pieces]) - 1] + np.arange(len(pieces))] * beta).sum(axis=0)
     for t in range(steps - 1, 0, -1):
         lo, hi = edges[t], edges[t + 1]
         n, before = hi - lo, edges[t - 1]
         w = e[:, lo:hi] * beta[:, :n]
         moved += alpha[:, before : before + n] @ w.T
-        alpha[:, lo:hi] *= beta[:, :n]  # now the state's chance given the whole sequence
+        alpha[:, lo:hi] *= beta[:, :n]  # now the state's chance given the whole text
         beta[:, :n] = back @ w
     alpha[:, : edges[1]] *= beta
+    alpha[:, : edges[1]][:, going_on] = 0.0  # that token is counted in the piece before
     move_counts += m.move * moved
     for k in range(states):
         emit_counts[:, k] += np.bincount(laid, alpha[k], minlength=len(emit_counts))
@@ -299,9 +394,8 @@ def train(seqs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = RO
             n = 0
             for batch in batches:
                 for row in batch.column(0):
-                    whole = row.values.to_numpy()
-                    held += [whole[a : a + SEGMENT] for a in range(0, len(whole), SEGMENT)]
-                    n += len(whole)
+                    held.append(row.values.to_numpy())
+                    n += len(held[-1])
                     if n > CHUNK_TOKENS:
                         expected(held, m, emit, move, start)
                         held, n = [], 0
@@ -332,6 +426,7 @@ def train(seqs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = RO
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row."""
     spark = docs.sparkSession
+    since = mark(spark)
     words, v = vocabulary(docs)
     seqs = written(sequences(docs, v), "sequences")
     model = train(seqs, v) if v.total else first_model(v)
@@ -365,7 +460,7 @@ def score(docs: DataFrame) -> DataFrame:
     all_ = seqs.drop("symbols", "tail").join(likely, "rid").join(tails, "rid", "left")
     tail = F.coalesce("tail", F.lit(0.0))
     per_token = math.log10(v.total + 0.5 * (v.distinct + 1))
-    return all_.select(
+    scores = all_.select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -374,3 +469,4 @@ def score(docs: DataFrame) -> DataFrame:
         F.round(F.col("base") + tail - F.col("n_tokens") * per_token, 6).alias("base_score"),
         F.round(F.col("hmm") + F.col("inner") + tail, 6).alias("score"),
     )
+    return finished(scores, "scores", since)

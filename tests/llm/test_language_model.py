@@ -43,10 +43,12 @@ def test_forward_sums_all_paths() -> None:
     assert np.allclose(hmm.log_likelihoods(PARTS, m), want)
 
 
-def test_baum_welch_counts_are_expectations() -> None:
+@pytest.mark.parametrize("segment", [1, 2, 3, 4, 100])
+def test_baum_welch_counts_are_expectations(segment) -> None:
+    """Whatever the segments: nothing is lost where they meet."""
     m = small_model()
     emit, move, start = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3)
-    total = hmm.expected(PARTS, m, emit, move, start)
+    total = hmm.expected(PARTS, m, emit, move, start, segment)
     e2, m2, s2, t2 = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3), 0.0
     for x in PARTS:
         each = {p: path_chance(x, p, m) for p in itertools.product(range(3), repeat=len(x))}
@@ -61,6 +63,24 @@ def test_baum_welch_counts_are_expectations() -> None:
     assert np.allclose(emit, e2) and np.allclose(move, m2) and np.allclose(start, s2) and math.isclose(total, t2)
 
 
+def test_segments_of_a_long_text_do_not_matter(monkeypatch) -> None:
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 3_000)  # several blocks
+    x = [np.random.default_rng(3).integers(0, 5, n).astype(np.int32) for n in (9_000, 1, 700, 2_049, 2_050)]
+    seen = []
+    for segment in (1_024, 10**6):
+        emit, move, start = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3)
+        seen.append((hmm.expected(x, small_model(), emit, move, start, segment), emit, move, start))
+        assert math.isclose(start.sum(), len(x)) and math.isclose(move.sum(), sum(map(len, x)) - len(x)) and math.isclose(emit.sum(), sum(map(len, x)))
+    assert all(np.allclose(a, b) for a, b in zip(*seen, strict=True))
+
+
+def test_most_frequent_words(spark) -> None:
+    words = spark.createDataFrame([(f"w{k:03d}".encode(), 1 + (k * 7919) % 50) for k in range(300)], "word binary, c long").repartition(7)
+    want = sorted(((bytes(r.word), r.c) for r in words.collect()), key=lambda r: (-r[1], r[0]))
+    for k in (1, 17, 299, 1000):
+        assert [(bytes(r.word), r.c) for r in hmm.most_frequent(words, k).collect()] == want[:k]
+
+
 def test_a_long_sequence_does_not_underflow() -> None:
     x = np.tile(np.arange(5, dtype=np.int32), 20_000)
     assert -200_000 < hmm.log_likelihoods([x], small_model())[0] < -1000
