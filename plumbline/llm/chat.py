@@ -9,7 +9,8 @@ Defined results: a null role reads "user", a null text "" (both count as equal t
 turns order by number (null first), then role, then text; a conversation without partner
 is kept with status "unpaired"; equal conversations have empty completions and status
 "equal"; if one is a prefix of the other, its last common turn stays in the completions, so
-that no completion is empty ("prefix"); an empty table gives an empty one.
+that no completion is empty ("prefix"); an empty table gives an empty one; repeated turns
+count each; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -99,14 +100,26 @@ def preferences(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.when(paired, both).otherwise(alone).alias("x")).select("pair_id", "x.*")
 
 
-def pair_neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs for a table without preferences: conversation 2k is chosen, 2k + 1 rejected.  Both
-    are gathered in one shuffle on the pair's id.  A null conv_id is one unpaired conversation."""
-    one = F.struct(F.col("turn").alias("n"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    side = F.coalesce(F.pmod("conv_id", F.lit(2)), F.lit(0)) == 0
-    gathered = turns.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(F.collect_list(F.when(side, one)).alias("c"), F.collect_list(F.when(~side, one)).alias("r"))
-    tidy = lambda c: F.when(F.size(c) > 0, F.transform(F.sort_array(c), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    return gathered.select("pair_id", tidy("c").alias("chosen"), tidy("r").alias("rejected"))
+def branch_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs for a table without preferences, each from one conversation: chosen is the
+    conversation up to the assistant's last turn, rejected the same with, in that turn's place,
+    what the assistant had said the time before (nothing, if it spoke once).  A conversation in
+    which no assistant speaks is unpaired.  A turn without conv_id is a conversation of its own."""
+    whole = conversations(turns.where("conv_id IS NOT NULL")).withColumnRenamed("conv_id", "pair_id")
+    t = F.col("turns")
+    spoken = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.get(t, i - 1)["role"].isin(*TRAINED_ROLES))
+
+    def pair(at: Column) -> Column:
+        last, before = F.get(at, F.size(at) - 1), F.get(at, F.size(at) - 2)
+        instead = F.struct(F.get(t, last - 1)["role"].alias("role"), F.coalesce(F.get(t, before - 1)["text"], F.lit("")).alias("text"))
+        rejected = F.concat(F.slice(t, 1, last - 1), F.array(instead))
+        spoke = F.size(at) > 0
+        return F.struct(F.when(spoke, F.slice(t, 1, last)).otherwise(t).alias("chosen"), F.when(spoke, rejected).alias("rejected"))
+
+    paired = whole.select("pair_id", let(spoken, pair).alias("x")).select("pair_id", "x.chosen", "x.rejected")
+    one = F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    loose = turns.where("conv_id IS NULL").select(F.col("conv_id").alias("pair_id"), F.array(one).alias("chosen"))
+    return paired.unionByName(loose.withColumn("rejected", F.lit(None).cast(paired.schema["rejected"].dataType)))
 
 
 def mask_text(runs: Column) -> Column:

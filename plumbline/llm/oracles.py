@@ -79,13 +79,21 @@ SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN upto <= re
 """
 
 _CHAT = r"""
-WITH t AS (
-  SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+WITH own AS (
+  SELECT conv_id AS pair_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS k
-  FROM conversations
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+spoken AS (
+  SELECT pair_id, max(k) AS z, max(k) FILTER (WHERE rank = 2) AS y FROM (SELECT pair_id, k, row_number() OVER (PARTITION BY pair_id ORDER BY k DESC) AS rank FROM own WHERE role = 'assistant') GROUP BY pair_id
+),
+t AS (
+  SELECT pair_id, 0 AS side, role, text, k FROM own LEFT JOIN spoken USING (pair_id) WHERE z IS NULL OR k <= z
+  UNION ALL SELECT pair_id, 1, role, text, k FROM own JOIN spoken USING (pair_id) WHERE k < z
+  UNION ALL SELECT s.pair_id, 1, 'assistant', coalesce(o.text, ''), s.z FROM spoken s LEFT JOIN own o ON o.pair_id = s.pair_id AND o.k = s.y
 ),
 c AS (
-  SELECT t.*, count(*) OVER (PARTITION BY conv_id) AS n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
+  SELECT t.*, count(*) OVER (PARTITION BY pair_id, side) AS n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
     (length(role) + 5)::VARCHAR || ':0,' || (length(text) + 8)::VARCHAR || CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS runs
   FROM t
 ),
@@ -113,7 +121,34 @@ SELECT split_at.pair_id::BIGINT AS pair_id, status, p::BIGINT AS prompt_turns,
 FROM split_at JOIN c USING (pair_id) GROUP BY split_at.pair_id, status, p, nc, nr
 """
 
+_NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, rid, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3])) END AS own FROM d
+),
+class AS (SELECT list_sort(own) AS own, min(rid) AS cid, len(own) AS n FROM s WHERE len(own) > 0 GROUP BY 1, 3),
+each AS (SELECT cid, n, unnest(own) AS g FROM class),
+near AS (
+  SELECT a.cid AS x, b.cid AS y FROM each a JOIN each b ON a.g = b.g AND a.cid < b.cid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+placed AS (SELECT s.doc_id, s.rid, len(s.own) AS n, cid FROM s LEFT JOIN class ON len(s.own) > 0 AND list_sort(s.own) = class.own WHERE doc_id IS NOT NULL),
+-- nodes are documents: all rows of an id, and of a class, are joined by its first
+links AS (
+  SELECT DISTINCT p.doc_id AS a, f.doc_id AS b FROM placed p JOIN (SELECT cid, min(doc_id) AS doc_id FROM placed GROUP BY cid) f ON p.cid = f.cid
+  UNION SELECT p.doc_id, q.doc_id FROM near JOIN (SELECT cid, min(doc_id) AS doc_id FROM placed GROUP BY cid) p ON p.cid = x JOIN (SELECT cid, min(doc_id) AS doc_id FROM placed GROUP BY cid) q ON q.cid = y
+),
+sides AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach AS (SELECT a, b FROM sides UNION SELECT r.a, e.b FROM reach r JOIN sides e ON r.b = e.a)
+SELECT p.doc_id, p.n::BIGINT AS n_shingles, least(p.doc_id, coalesce(r.low, p.doc_id)) AS component_id, p.doc_id <= coalesce(r.low, p.doc_id) AS kept
+FROM placed p LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = p.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_near_duplicates": _NEAR,
     "op1_preferences": _CHAT,
     "op3_mixing": _MIX,
     "op6_quality_rules": f"WITH {JUDGED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, array_to_string(list_filter([{_FAILED}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM judged",

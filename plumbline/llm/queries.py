@@ -51,9 +51,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.chat import mask_text, pair_neighbours, preferences
+    from plumbline.llm.chat import branch_pairs, mask_text, preferences
 
-    made = preferences(pair_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    made = preferences(branch_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return made.select("pair_id", "status", "prompt_turns", "prompt", "chosen", mask_text(F.col("chosen_mask")).alias("chosen_mask"), "rejected", mask_text(F.col("rejected_mask")).alias("rejected_mask"))
 
 
@@ -62,7 +62,9 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     shards = written(sstable.write(docs, sstable.shard_path(docs), bpe.default_path()), "shards")
-    return sstable.read(shards)
+    found = sstable.lookup(shards, docs.where("doc_id % 50 = 0")).groupBy(F.col("doc_id").alias("wanted"))
+    found = found.agg(F.sum("n_tokens").alias("lookup_tokens"), F.bit_xor("ids_crc32").alias("lookup_crc32"))
+    return sstable.read(shards).join(found, F.col("doc_id") == F.col("wanted"), "left").drop("wanted")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
