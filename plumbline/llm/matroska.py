@@ -201,6 +201,8 @@ def parse(data: bytes) -> Media:
                     media.scale = _uint(data, a, b)
                 elif i == 0x4489:
                     media.duration = _float(data, a, b)
+            if not media.scale:
+                raise ValueError("the timestamp scale is 0")
         elif ident == TRACKS:
             for i, a, b in _plain(data, at, stop):
                 if i == 0xAE:
@@ -305,6 +307,7 @@ _PACKETS = "track int, timestamp_ns long, offset long, size long, keyframe boole
 def packets(media: DataFrame, key: str, content: str) -> DataFrame:
     """The packet table of a column of Matroska files: one row per packet, with ``key``."""
     kind = media.schema[key].dataType.simpleString()
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,14 +327,11 @@ def packets(media: DataFrame, key: str, content: str) -> DataFrame:
                         [x.cluster for x in p],
                         [None] * len(p),
                     ]
-                except (ValueError, IndexError, struct.error) as e:
-                    columns = [[None]] * 7 + [[str(e) or type(e).__name__]]
-                n = len(columns[0])
-                if not n:
-                    continue
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
-                keys = pa.repeat(one.column(0)[0], n)
-                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["key", *[x.split()[0] for x in _PACKETS.split(", ")]])
+                    arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                except (ValueError, IndexError, OverflowError, struct.error) as e:  # an Arrow value beyond its type is a ValueError
+                    arrays = [*[pa.nulls(1, t) for t in kinds[:-1]], pa.array([str(e) or type(e).__name__])]
+                if n := len(arrays[0]):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(one.column(0)[0], n), *arrays], ["key", *[x.split()[0] for x in _PACKETS.split(", ")]])
 
     return media.select(F.col(f"`{key}`").alias("key"), F.col(f"`{content}`").cast("binary").alias("content")).mapInArrow(rows, f"key {kind}, {_PACKETS}").withColumnRenamed("key", key)
 
@@ -362,7 +362,7 @@ def store(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                     mean = total / len(back)
                     cued = len({place for _, _, place in found.cues} & set(found.clusters))
                     feature = f"{len(found.packets)},{len(found.clusters)},{cued},{len(found.packets) * _TICKS},{mean:.4f},{squares / len(back) - mean * mean:.4f}"
-                    out.append((doc_id, len(own), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature, file))
+                    out.append((doc_id, len(own), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature, file if keep_media else None))
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]

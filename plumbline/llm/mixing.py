@@ -9,7 +9,7 @@ straddles it is refined, then sorted document by document.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source is a
 source of its own, last in order; equal keys are ordered by doc_id, then size; repeated
-rows count each; an empty table gives an empty one; a null doc_id draws as the text "null".
+rows count each; an empty table gives an empty one; a row without doc_id draws by its text.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def _drawn(seed: str, weight: Column | None) -> dict[str, Column]:
         "d_id": F.col("doc_id").cast("long"),
         "d_source": F.col("source").cast("string"),
         "d_size": n_words_of(F.col("text")),
-        "d_key": -F.log(uniform(F.lit(seed), F.col("doc_id"))) / w,
+        "d_key": -F.log(uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit(""))))))) / w,
     }
 
 
@@ -85,13 +85,13 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def rules(drawn: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS) -> DataFrame:
+def rules(drawn: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """One row per source: source_size, target, epochs, and where its sample ends."""
     sizes = drawn.groupBy(F.col("d_source").alias("source")).agg(F.sum("d_size").alias("source_size"))
     plan = targets(sizes, weights, share, most)
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).cast("long")
     plan = written(plan.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))), "mix-plan")
-    few = plan.count() <= BROADCAST_SOURCES
+    few = plan.count() <= broadcast_sources
     small = lambda df: F.broadcast(df) if few else df
 
     def straddled(rows: DataFrame, rest: DataFrame, bucket: str) -> DataFrame:
@@ -119,10 +119,10 @@ def rules(drawn: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     return written(out, "mix-rules")
 
 
-def _with_times(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+def _with_times(rows: DataFrame, by_source: DataFrame, broadcast_sources: int) -> DataFrame:
     """The rows with source_size, target and ``times``: how often each is taken."""
     by_source = by_source.withColumnRenamed("source", "__source")
-    if by_source.count() <= BROADCAST_SOURCES:
+    if by_source.count() <= broadcast_sources:
         by_source = F.broadcast(by_source)
     me = F.struct("d_key", "d_id", "d_size")
     sampled = (
@@ -131,23 +131,25 @@ def _with_times(rows: DataFrame, by_source: DataFrame) -> DataFrame:
         .when(F.col("cut2").isNull() | (F.col("b2") != F.col("cut2")), F.coalesce(F.col("b2") < F.col("cut2"), F.lit(False)))
         .otherwise(F.coalesce(me <= F.col("edge"), F.lit(False)))
     )
-    return rows.join(by_source, _same("d_source", "__source")).withColumn("times", F.col("epochs") + sampled.cast("long"))
+    # a blank document adds no words: it is taken 0 times, whatever its place
+    times = F.when(F.col("d_size") > 0, F.col("epochs") + sampled.cast("long")).otherwise(F.lit(0).cast("long"))
+    return rows.join(by_source, _same("d_source", "__source")).withColumn("times", times)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per document.  ``taken`` is its size
     times the epochs of its source, once more if sampled."""
     drawn = _bucketed(written(docs.select(*[v.alias(k) for k, v in _drawn(seed, weight).items()]), "drawn"))
-    found = _with_times(drawn, rules(drawn, weights, share, most))
+    found = _with_times(drawn, rules(drawn, weights, share, most, broadcast_sources), broadcast_sources)
     return found.select(F.col("d_id").alias("doc_id"), F.col("d_size").alias("size"), "source_size", "target", (F.col("d_size") * F.col("times")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, seed: str = SEED, weight: Column | None = None, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The documents themselves, each as often as it is taken, with the input's columns.  Texts
     are not shuffled: the small table of rules meets each row where it is."""
     own = _drawn(seed, weight)
     drawn = _bucketed(written(docs.select(*[v.alias(k) for k, v in own.items()]), "drawn"))
-    by_source = rules(drawn, weights, share, most)
+    by_source = rules(drawn, weights, share, most, broadcast_sources)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[v.alias(k) for k, v in own.items()])
-    found = _with_times(_bucketed(held), by_source).where("times > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("__row.*")
+    found = _with_times(_bucketed(held), by_source, broadcast_sources).where("times > 0")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[F.col(f"__row.`{c}`") for c in docs.columns])

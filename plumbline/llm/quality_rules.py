@@ -153,7 +153,5 @@ def _any(tests: list[Column]) -> Column:
 def keep_good(docs: DataFrame, limits: tuple[Limit, ...] = KEEP_LIMITS) -> DataFrame:
     """The documents that pass, however long, with the columns of the input."""
     own = [f"`{c}`" for c in docs.columns]
-    if "kept" in {c.lower() for c in docs.columns}:
-        raise ValueError("a column named kept would be lost")
     judged = judge(docs.select(F.struct(*own).alias("__row"), F.col("text")), limits)
-    return judged.where("kept").select("__row.*")
+    return judged.where("kept").select(*[F.col(f"__row.`{c}`") for c in docs.columns])

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import finished, mark, written
 
 SAMPLE = 20_000
 BUCKETS = 1 << 18
 WORD_FEATURES = 512
+#: The table of rates, one row per path, is broadcast up to so many rows; beyond it Spark joins as it sees fit.
+BROADCAST_PATHS = 50_000
 TARGETS = ("quality", "toxic")
 SHAPES = 6
 BINS = 12
@@ -115,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
     """Counts of documents with a word or shape, by label, over the bounded sample."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
-    chosen = known.select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample).toPandas()
+    first = known.select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
+    chosen = written(first, "labelled").toPandas()  # at most ``sample`` rows of a stored table
     if not len(chosen):
         return Evidence(dict.fromkeys(TARGETS, 0.5))
     few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, quality int, toxic int"))  # at most ``sample`` rows
@@ -154,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
         both = (a + b) / F.lit(float(n1 + n0))
         spread = F.sqrt(both * (1 - both) * F.lit(1 / n1 + 1 / n0) + F.lit(1e-12))
         z = F.abs(p - q) / spread
-        top = sums.where("kind = 0").select("at", a.alias("a"), b.alias("b"), z.alias("z")).orderBy(F.desc("z"), "at").limit(WORD_FEATURES).collect()
-        for r in top:
+        top = sums.where("kind = 0").select("at", a.alias("a"), b.alias("b"), z.alias("z")).orderBy(F.desc("z"), "at").limit(WORD_FEATURES)
+        for r in written(top, "telling").collect():  # at most WORD_FEATURES rows of a stored table
             if r["z"] > 8:
                 words.setdefault(r["at"], [0.0] * len(TARGETS))[t] = math.log((r["a"] + 0.5) / (n1 + 1) / ((r["b"] + 0.5) / (n0 + 1)))
     out.words = {k: tuple(v) for k, v in words.items()}
@@ -198,9 +201,10 @@ def _strength(rates: DataFrame, rate: str, n: str) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, mean * (1 - mean) / between - 1))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host: str = "source", path: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host: str = "source", path: str = "lang", broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:
     """doc_id; by target the evidence, the path's rate and the posterior; kept: the posterior
     of quality is at least one half and that of toxicity below it."""
+    since = mark(docs.sparkSession)
     evidence = fit(docs, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
     names = [f"{t}_evidence" for t in TARGETS]
@@ -226,17 +230,18 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host: str
         rate = (F.col(f"{t}_s") + F.lit(by_path) * host_rate) / (F.col("n") + F.lit(by_path))
         rates = rates.withColumn(f"{t}_rate", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), rate)))
     rates = written(rates.select(F.col("host").alias("h"), F.col("path").alias("p"), *[f"{t}_rate" for t in TARGETS]), "rates")
-    if rates.count() <= 50_000:  # one row per path; beyond that the join is left to Spark
+    if rates.count() <= broadcast_paths:
         rates = F.broadcast(rates)
     joined = seen.join(rates, seen["host"].eqNullSafe(F.col("h")) & seen["path"].eqNullSafe(F.col("p")), "left")
     posterior = {t: _expit(_logit(F.col(f"{t}_rate")) + F.col(f"{t}_evidence")) for t in TARGETS}
-    return joined.select(
+    judged = joined.select(
         "doc_id",
         *[F.round(n, 6).alias(n) for n in names],
         *[F.round(f"{t}_rate", 6).alias(f"{t}_path_rate") for t in TARGETS],
         *[F.round(posterior[t], 6).alias(f"p_{t}") for t in TARGETS],
         ((posterior["quality"] >= 0.5) & (posterior["toxic"] <= 0.5)).alias("kept"),
     )
+    return finished(judged, "judged", since)
 
 
 def _plain_logit(p: float) -> float:

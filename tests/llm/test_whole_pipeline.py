@@ -9,7 +9,9 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pytest
 from plumbline.llm.quality_rules import STOP_WORDS
+from pyspark.sql import functions as F
 
 from .conftest import SCHEMA
 from .test_near_duplicates import brute
@@ -68,7 +70,8 @@ def times_taken(rows: list[tuple]) -> list[int]:
 
         def key(k: int) -> tuple:
             name, text = rows[k][0], rows[k][1]
-            u = (int(hashlib.md5(f"mix-1:{'null' if name is None else name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            drawn_by = "text " + hashlib.md5(text.encode()).hexdigest() if name is None else name
+            u = (int(hashlib.md5(f"mix-1:{drawn_by}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             return -math.log(u) / (0.1 + 0.9 * sum(x.isalpha() or x in " \t\n\x0b\x0c\r" for x in text) / len(text)), name or 0, size[k]
 
         for k in sorted((k for k in range(len(rows)) if rows[k][3] == s), key=key):
@@ -108,3 +111,32 @@ def test_whole_pipeline(spark, tmp_path, ids_of) -> None:  # noqa: F811
             assert o == at
             at += n
         assert at <= 1024
+
+
+def test_a_failed_run_goes_on_where_it_ended(spark, tmp_path, monkeypatch) -> None:
+    rows = [(k, clean_text(60 + k, k), "en", "ab"[k % 2], 0) for k in range(6)]
+    spark.createDataFrame(rows, SCHEMA).withColumn("x.y", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    calls: list[str] = []
+
+    def counted(name, stage):  # noqa: ANN001, ANN202
+        def run(*args):  # noqa: ANN002, ANN202
+            calls.append(name)
+            if name == "mixed" and calls.count("mixed") == 1:
+                raise RuntimeError("lost")
+            return stage(*args)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*x) for x in corpus_pipeline.STAGES])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/stages")
+    got = corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/stages").select("doc_id", "start", "ids_crc32").collect()
+    assert calls == ["quality", "near_duplicates", "private", "mixed", "mixed", "packed"]
+    monkeypatch.undo()
+    again = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_no_documents(spark, tmp_path) -> None:
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
