@@ -1,6 +1,10 @@
 """From raw documents to packed training sequences, stage by stage.
 
-Each stage takes what the one before kept, written as Parquet and read again.
+Each stage takes what the one before kept, written as Parquet and read again.  Results defined for
+all stages: an empty table gives an empty one; a null text counts as empty; rows without doc_id are
+kept or dropped by their text like others; columns beyond those of ``documents`` are carried up to
+the last stage, whatever their names; rows that repeat count each, but for copies, of which one
+stays.
 """
 
 from __future__ import annotations
@@ -11,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, mixing, near_dup, packing, pii, quality_rules
-from plumbline.llm.common import documents, written
+from plumbline.llm.common import documents, mark, release, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; an empty text is rejected, a long one is not."""
     return quality_rules.keep_good(docs)
 
 
@@ -34,22 +38,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     placed = grouped.join(keyed.select("key", place.alias("place")), "key")
     first = written(placed.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key").alias("key")), "first")
     dropped = written(grouped.join(first, "key", "left_anti").select("key"), "dropped")
-    return keyed.join(dropped, "key", "left_anti").select("row.*")
+    return keyed.join(dropped, "key", "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind; ``n_chars`` counts the new text (null for
+    a null one)."""
     clean = pii.redact(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks."""
+    """Documents as often as their source's target asks, each taken whole; blanks never."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences with their places in the training sequences."""
+    """Pieces of token sequences with their places in the training sequences.  A row per piece: the
+    columns of ``documents`` but doc_id end here."""
     return packing.pack(docs, bpe.default_path())
 
 
@@ -65,10 +71,31 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, resume: str | None = None) -> DataFrame:
+    """All stages over ``documents``.  With ``resume``, a folder that driver and executors share,
+    each stage's rows stay there, and a run that failed goes on after the last stage that ended."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
+        last = k == len(STAGES) - 1
+        kept = f"{resume.rstrip('/')}/{k}-{name}" if resume and not last else None
+        if kept and _ended(spark, kept):
+            docs = spark.read.parquet(kept)
+            continue
+        since = mark(spark)
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        if last:
+            break
+        if kept:
+            schema = docs.schema
+            docs.write.mode("overwrite").option("compression", "zstd").parquet(kept)
+            docs = spark.read.schema(schema).parquet(kept)
+            release(spark, since)
+        else:
             docs = written(docs, name)
+            release(spark, since, keep=1)  # what the stage wrote on its way
     return docs
+
+
+def _ended(spark: SparkSession, path: str) -> bool:
+    mark_of_end = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark_of_end.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark_of_end)
