@@ -1,7 +1,7 @@
 """Queries over the driver's tables, by name, and the same in SQL.
 
-The tables hold no source code; each operator runs on a stand-in of the same structure: trade
-flows between nations are the import graph, events are findings, texts are files.
+The tables hold no source code; each operator runs on a stand-in of the same structure: lines of
+orders are imports, events are findings, texts are files.  ``tree`` has those over a source tree.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.cut import written
-from plumbline.functions import paths
+from plumbline.cut import new_path
+from plumbline.functions import paths, texts
 from plumbline.operators import findings as fi
+from plumbline.operators import bands as band_joins
 from plumbline.operators import graph, intervals, stats, windows
 from plumbline.plans import predicate
 from plumbline.streaming import watch
@@ -38,76 +39,102 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- the graph of trade flows
+# ---------------------------------------------------------------- flows between nations, and the import graph of the tree
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, n): lines by the supplier's and the customer's nation."""
+    """(src, dst): nations whose suppliers sell to the other's customers."""
     line, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust, supp = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("dst")), table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("src"))
     sold = line.join(supp, line["l_suppkey"] == supp["s_suppkey"]).join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(cust, orders["o_custkey"] == cust["c_custkey"])
-    return sold.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return sold.select("src", "dst").distinct()
 
 
-def edges(spark: SparkSession, sf_dir: str, quantile: float = 0.9) -> DataFrame:
-    """Flows above a quantile of their volume; a row for each pair of nations at most."""
-    all_flows = written(flows(spark, sf_dir), "flows")
-    limit = all_flows.agg(F.percentile("n", F.lit(quantile)).alias("q")).first()["q"]
-    return all_flows.where(F.col("n") > (limit if limit is not None else 0)).select("src", "dst")
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): all imports of the tree of ``corpora``, by the numbers of its files."""
+    a = table(spark, sf_dir, "lineitem").where("l_quantity >= 46").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
+    return a.join(b, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).select("src", "dst").distinct()
 
 
-FLOWS_SQL = """flows AS (SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-edges AS (SELECT src, dst FROM flows WHERE n > (SELECT quantile_cont(n, 0.9) FROM flows))"""
-REACH_SQL = f"WITH RECURSIVE {FLOWS_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"
+FLOWS_SQL = """flows AS (SELECT DISTINCT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+EDGES_SQL = "edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 46)"
+SEEDS = "p_partkey % 97 = 0"
 
 
-@query(f"""WITH {FLOWS_SQL} SELECT e.src, e.dst, 'r' || a.n_regionkey AS src_layer, 'r' || b.n_regionkey AS dst_layer FROM edges e
+@query(f"""WITH {FLOWS_SQL} SELECT e.src, e.dst, 'r' || a.n_regionkey AS src_layer, 'r' || b.n_regionkey AS dst_layer FROM flows e
 JOIN nation a ON e.src = a.n_nationkey JOIN nation b ON e.dst = b.n_nationkey
 WHERE a.n_regionkey <> b.n_regionkey AND b.n_regionkey <> (a.n_regionkey + 1) % 5""")
 def layer_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows between regions that the list of allowed pairs does not hold."""
     layers = {f"r{k}": [f"r{k}/*"] for k in range(5)}
     place = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), paths.layer_of(F.concat(F.lit("r"), F.col("n_regionkey"), F.lit("/n"), F.col("n_nationkey")), layers).alias("layer"))
-    met = edges(spark, sf_dir).join(place.select(F.col("key").alias("src"), F.col("layer").alias("src_layer")), "src").join(place.select(F.col("key").alias("dst"), F.col("layer").alias("dst_layer")), "dst")
+    met = flows(spark, sf_dir).join(place.select(F.col("key").alias("src"), F.col("layer").alias("src_layer")), "src").join(place.select(F.col("key").alias("dst"), F.col("layer").alias("dst_layer")), "dst")
     allowed = F.array(*[F.lit(f"r{k}>r{(k + 1) % 5}") for k in range(5)])
     return met.where((F.col("src_layer") != F.col("dst_layer")) & ~F.array_contains(allowed, F.concat("src_layer", F.lit(">"), "dst_layer"))).select("src", "dst", "src_layer", "dst_layer")
 
 
-@query(f"{REACH_SQL} SELECT src, dst FROM reach")
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(SEEDS).select(F.col("p_partkey").alias("id"))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT p_partkey AS src, p_partkey AS dst FROM part WHERE {SEEDS} UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM r""")
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(edges(spark, sf_dir)).select("src", "dst")
+    """What some files reach, themselves included."""
+    return graph.closure(edges(spark, sf_dir), seeds=seeds(spark, sf_dir)).select("src", "dst")
 
 
-@query(f"""WITH RECURSIVE {FLOWS_SQL}, b AS (SELECT src, dst, 1 AS depth FROM edges UNION SELECT b.src, e.dst, depth + 1 FROM b JOIN edges e ON b.dst = e.src WHERE depth < 2)
-SELECT src, dst, min(depth)::INT AS depth FROM b GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src, dst, 1 AS depth FROM edges WHERE src IN (SELECT p_partkey FROM part WHERE {SEEDS}) UNION SELECT b.src, e.dst, depth + 1 FROM b JOIN edges e ON b.dst = e.src WHERE depth < 3)
+SELECT src, dst, min(depth)::INT AS depth FROM b WHERE src <> dst GROUP BY 1, 2""")
 def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(edges(spark, sf_dir), 2)
+    return graph.bounded_bfs(edges(spark, sf_dir), seeds(spark, sf_dir), 3)
+
+
+@query(f"""WITH {EDGES_SQL} SELECT e.src, e.dst FROM edges e WHERE dst IN (SELECT p_partkey FROM part WHERE {SEEDS})""")
+def neighbours_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(edges(spark, sf_dir), seeds(spark, sf_dir), out=False)
 
 
-@query(f"{REACH_SQL} SELECT a.src AS id, least(a.src, min(b.dst)) AS scc FROM reach a JOIN reach b ON a.src = b.src JOIN reach c ON b.dst = c.src AND c.dst = a.src WHERE a.src = a.dst GROUP BY 1, a.src")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)
+SELECT a.src AS id, least(a.src, min(b.dst)) AS scc FROM (SELECT src FROM reach WHERE src = dst) a LEFT JOIN (SELECT x.src, x.dst FROM reach x JOIN reach y ON x.dst = y.src AND x.src = y.dst) b ON a.src = b.src GROUP BY a.src""")
 def import_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes on cycles with their strong component."""
     return graph.strong_components(edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {FLOWS_SQL}, linked AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT src, dst FROM linked UNION SELECT r.src, b.dst FROM reach r JOIN linked b ON r.dst = b.src)
+@query(f"""WITH RECURSIVE {EDGES_SQL}, linked AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT src, dst FROM linked UNION SELECT r.src, b.dst FROM reach r JOIN linked b ON r.dst = b.src)
 SELECT src AS id, least(src, min(dst)) AS label FROM reach GROUP BY src""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {FLOWS_SQL}, b AS (SELECT src AS id, 1 AS depth FROM edges WHERE dst IN (0, 1, 2) UNION SELECT e.src, depth + 1 FROM b JOIN edges e ON e.dst = b.id WHERE depth < 4)
-SELECT id, min(depth)::BIGINT AS depth, greatest(6, 70 - 15 * (min(depth) - 1))::BIGINT AS score FROM b WHERE id NOT IN (0, 1, 2) GROUP BY id""")
+@query("""WITH RECURSIVE sides AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), r AS (SELECT min(a) AS id FROM sides UNION SELECT CASE WHEN r.id % 2 = 0 THEN s.b ELSE s.a END FROM r JOIN sides s ON r.id = s.a OR r.id = s.b)
+SELECT id, min(id) OVER () AS label FROM r""")
+def trade_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers that lines of orders connect, all of them: parts are even, suppliers odd."""
+    return graph.components(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, c AS (SELECT p_partkey AS id FROM part WHERE {SEEDS}), b AS (SELECT id, id AS root, 0 AS depth FROM c UNION SELECT e.src, b.root, depth + 1 FROM b JOIN edges e ON e.dst = b.id AND e.src <> e.dst WHERE depth < 4),
+m AS (SELECT id, min(depth) AS depth FROM b WHERE id NOT IN (SELECT id FROM c) GROUP BY id)
+SELECT m.id, m.depth::BIGINT AS depth, greatest(6, 70 - 15 * (m.depth - 1) + CASE WHEN m.id % 4 = 0 THEN 5 ELSE 0 END)::BIGINT AS score FROM m""")
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.blast_radius(edges(spark, sf_dir), spark.createDataFrame([(0,), (1,), (2,)], "id long"))
+    """Who depends on some files, at most four steps away; every fourth file is a test."""
+    tests = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"))
+    return graph.blast_radius(edges(spark, sf_dir), seeds(spark, sf_dir), tests=tests).select("id", "depth", "score")
 
 
-@query(f"""WITH {FLOWS_SQL}, f AS (SELECT src, count(*) AS fan_out FROM edges GROUP BY 1), s AS (SELECT avg(fan_out) AS m, stddev_samp(fan_out) AS sd FROM f)
-SELECT src, fan_out, round(m, 6) AS mean, round(sd, 6) AS sd FROM f, s WHERE fan_out > m + 1.5 * sd AND fan_out >= 2""")
+@query(f"""WITH {EDGES_SQL}, f AS (SELECT src, count(*) AS fan_out FROM edges GROUP BY 1), s AS (SELECT avg(fan_out) AS m, stddev_samp(fan_out) AS sd FROM f)
+SELECT src, fan_out, round(m, 6) AS mean, round(sd, 6) AS sd FROM f, s WHERE fan_out > m + 3 * sd AND fan_out >= 2""")
 def fan_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     fans = edges(spark, sf_dir).groupBy("src").agg(F.count("*").alias("fan_out"))
-    return stats.outliers(fans, "fan_out", sigmas=1.5, least_rows=2, least_value=2).select("src", "fan_out", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+    return stats.outliers(fans, "fan_out", sigmas=3, least_rows=2, least_value=2).select("src", "fan_out", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query(f"""WITH {EDGES_SQL} SELECT id, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT src AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges UNION ALL SELECT p_partkey, 0, 0 FROM part) GROUP BY id""")
+def fan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.fans(edges(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
 
 
 # ---------------------------------------------------------------- consumption, names, majorities
@@ -139,15 +166,6 @@ def unused_reexport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_brand", "p_type").distinct().join(named, ["p_brand", "p_type"], "left_anti").join(whole, "p_brand", "left_anti").select("p_brand", "p_type")
 
 
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.n_chars = d.n_chars + 1) AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.n_chars = d.n_chars - 1)")
-def missing_counterpart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents none of whose candidate partners (by templates) exists."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    candidates = docs.select("doc_id", F.explode(F.array(F.col("n_chars") + 1, F.col("n_chars") - 1)).alias("n_chars"))
-    met = candidates.join(docs.select("n_chars").distinct(), "n_chars", "left_semi").select("doc_id")
-    return docs.join(met, "doc_id", "left_anti").select("doc_id")
-
-
 @query("SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'ECONOMY' ELSE p_type || '/Brand#1' END AS prefix FROM part WHERE p_type = 'ECONOMY' OR (p_type = 'STANDARD' AND p_brand = 'Brand#1')")
 def forbid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "p_type", "p_brand", "p_name")
@@ -209,26 +227,26 @@ def majority_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- texts
 
 
-_WORD_SQL = r"SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS tokens FROM documents WHERE text IS NOT NULL"
+_WORD_SQL = r"SELECT doc_id AS id, list_distinct(regexp_extract_all(text, '[^ \t\r\n\x0b\x0c]+')) AS tokens FROM documents WHERE text IS NOT NULL"
 
 
-@query(f"""WITH s AS ({_WORD_SQL}), k AS (SELECT list_sort(tokens) AS t, min(id) AS id, len(tokens) AS n FROM s WHERE len(tokens) > 0 GROUP BY t, n), e AS (SELECT id, n, unnest(t) AS w FROM k),
+@query(rf"""WITH s AS ({_WORD_SQL}), k AS (SELECT list_sort(tokens) AS t, min(id) AS id, len(tokens) AS n FROM s WHERE len(tokens) > 0 GROUP BY t, n), e AS (SELECT id, n, unnest(t) AS w FROM k),
 p AS (SELECT x.id AS a, y.id AS b, x.n AS xn, y.n AS yn, count(*) AS n_both FROM e x JOIN e y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2, 3, 4)
 SELECT a, b, n_both, (xn + yn - n_both)::BIGINT AS n_either FROM p WHERE 100 * n_both >= 80 * (xn + yn - n_both)""")
 def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of classes of equal word sets that are similar."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\r\n\x0B\f]+"), F.lit(0))
     return windows.similar_sets(table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), words.alias("tokens")))
 
 
-@query("""WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS t FROM documents),
+@query(r"""WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n\x0b\x0c]+'))) AS t FROM documents),
 k AS (SELECT t, min(doc_id) AS class_id, count(*) AS n FROM s WHERE len(t) > 0 GROUP BY t), e AS (SELECT class_id, n, len(t) AS size, unnest(t) AS w FROM k),
 p AS (SELECT x.class_id AS a, y.class_id AS b, y.n, x.size AS xs, y.size AS ys, count(*) AS n_both FROM e x JOIN e y ON x.w = y.w AND x.class_id <> y.class_id GROUP BY 1, 2, 3, 4, 5),
 l AS (SELECT a, sum(n) AS near FROM p WHERE 100 * n_both >= 80 * (xs + ys - n_both) GROUP BY a)
 SELECT doc_id, class_id, coalesce(n - 1 + coalesce(near, 0), 0)::BIGINT AS n_links FROM s LEFT JOIN k ON s.t = k.t LEFT JOIN l ON l.a = k.class_id""")
 def similarity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class in ``similarity_join`` and its number of similar documents."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\r\n\x0B\f]+"), F.lit(0))
     return windows.similar_members(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"))).withColumnRenamed("id", "doc_id")
 
 
@@ -243,7 +261,10 @@ def duplicate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.repeated_windows(windows.line_windows(table(spark, sf_dir, "documents"), width=3))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES_SQL}, p AS (SELECT DISTINCT doc_id, sha256(content) AS content_sha256, at_ FROM g),
+kept AS (SELECT doc_id, content_sha256, min(at_) AS "at" FROM p GROUP BY 1, 2
+  UNION ALL SELECT k.doc_id, k.content_sha256, (SELECT min(p.at_) FROM p WHERE p.doc_id = k.doc_id AND p.content_sha256 = k.content_sha256 AND p.at_ >= k."at" + 3) FROM kept k WHERE k."at" IS NOT NULL)
+SELECT * FROM kept WHERE "at" IS NOT NULL""")
 def self_overlap_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of windows that a text repeats, without those that overlap the one kept before."""
     found = windows.line_windows(table(spark, sf_dir, "documents"), width=3).select("doc_id", F.sha2("content", 256).alias("content_sha256"), "at")
@@ -255,13 +276,6 @@ def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", paths.signature(F.coalesce("text", F.lit(""))).alias("signature"))
 
 
-@query(r"SELECT page_id FROM pages WHERE NOT regexp_matches(html, '<html[^>]*\slang=') OR regexp_matches(html, '<html[^>]*\slang=\"(de|fr)\"')")
-def html_missing_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose root element names no language, or one that is not allowed."""
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").where(~html.rlike(r"<html[^>]*\slang=") | html.rlike(r'<html[^>]*\slang="(de|fr)"')).select("page_id")
-
-
 @query("WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT doc_id, max(length(line)) AS longest, count(*) FILTER (WHERE length(line) > 120) AS n_long FROM l GROUP BY 1 HAVING max(length(line)) > 120")
 def max_line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.char_length)
@@ -269,12 +283,6 @@ def max_line_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_max("s").cast("long").alias("longest"), F.size(F.filter("s", lambda x: x > 120)).cast("long").alias("n_long")).where("longest > 120")
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\b[a-z]+@[a-z]+')) AS n FROM documents WHERE regexp_matches(text, '\b[a-z]+@[a-z]+')")
-def banned_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = r"\b[a-z]+@[a-z]+"
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(pattern)).select("doc_id", F.regexp_count("text", F.lit(pattern)).cast("long").alias("n"))
-
-
 # ---------------------------------------------------------------- findings
 
 
@@ -349,7 +357,7 @@ def would_fire_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the baseline still occurs."""
     old, new = _versions(spark, sf_dir)
-    return old.join(new, ["file", "sig"], "left_semi").select("event_id")
+    return fi.pruned(old, new, "file", "sig").select("event_id")
 
 
 def _categories() -> Column:
@@ -399,8 +407,7 @@ def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FINDINGS_SQL} SELECT event_id, (SELECT count(*) FROM f) AS n_all FROM f ORDER BY priority DESC, check_id, file, line, event_id LIMIT 50")
 def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty of the report, with how many there are."""
-    f = findings(spark, sf_dir)
-    return fi.ranked(f).limit(50).select("event_id", F.lit(f.count()).cast("long").alias("n_all"))
+    return fi.first_n(findings(spark, sf_dir), 50).select("event_id", "n_all")
 
 
 @query(f"WITH {_FINDINGS_SQL} SELECT event_id, row_number() OVER (PARTITION BY file, check_id ORDER BY priority DESC, event_id) AS turn FROM f")
@@ -409,11 +416,14 @@ def digest_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fi.round_robin(f, "provider", "priority", "event_id").select("event_id", "turn")
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT doc_id, greatest(20, (length(text) + 3) // 4 + 20)::BIGINT AS tokens, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL),
+t AS (SELECT 0::BIGINT AS n, 4000::BIGINT AS left_, NULL::BIGINT AS doc_id, NULL::BIGINT AS tokens, false AS taken
+  UNION ALL SELECT i.n, CASE WHEN i.tokens <= t.left_ THEN t.left_ - i.tokens ELSE t.left_ END, i.doc_id, i.tokens, i.tokens <= t.left_ FROM t JOIN i ON i.n = t.n + 1)
+SELECT doc_id, tokens FROM t WHERE taken""")
 def digest_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in order of their numbers, as many as fit a budget of tokens."""
     items = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", (paths.token_estimate(F.col("text")) + 20).alias("tokens"))
-    return fi.budgeted(items, 4000, "tokens", "doc_id")
+    return fi.budgeted(items, 4000, "tokens", ["doc_id"])
 
 
 _GAP = 6 * 3600
@@ -425,10 +435,131 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.sessions(table(spark, sf_dir, "events"), "user_id", "ts", _GAP)
 
 
-@query("SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY 1")
+_STEPS = 7
+_FILE_EVENTS = f"""SELECT 'u' || user_id AS path, CASE WHEN event_type = 'error' THEN 'removed' WHEN event_type = 'signup' THEN 'accessed' ELSE 'modified' END AS kind, ts, event_type || ' ' || event_id AS text, event_id % {_STEPS} AS batch FROM events"""
+
+
+def _file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", F.lit("removed")).when(F.col("event_type") == "signup", F.lit("accessed")).otherwise(F.lit("modified"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), kind.alias("kind"), F.col("ts"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("text"), (F.col("event_id") % _STEPS).alias("batch"))
+
+
+@query(f"""WITH e AS ({_FILE_EVENTS}), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY batch DESC, ts DESC, kind = 'removed' DESC, text DESC) AS k FROM e WHERE kind <> 'accessed')
+SELECT path AS file, text AS fact FROM r WHERE k = 1 AND kind <> 'removed'""")
 def incremental_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream over the table's files, batch by batch; its end equals the batch result."""
-    path = f"{sf_dir}/events.parquet"
-    source = watch.files(spark, path, spark.read.parquet(path).schema)
-    step = lambda batch: batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    return watch.incremental(source, step, ["user_id"], {"n": F.sum, "top": F.max})
+    """A stream of file events in seven batches, the first three in one run and the others in a second
+    that starts from the first one's state: files change, go and come back; what is left equals the
+    last event of each."""
+    events = _file_events(spark, sf_dir)
+    schema = "path string, kind string, ts timestamp_ntz, text string"
+    facts = lambda files: files.select(F.col("path").alias("file"), F.col("text").alias("fact"))
+    folder, source = new_path(spark, "watch"), new_path(spark, "events")
+    for part in (range(3), range(3, _STEPS)):
+        for k in part:
+            events.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(source)
+        state = watch.run(watch.event_files(spark, source, schema), folder, "file string, fact string", facts)
+    return state.before()
+
+
+@query(f"""WITH {_FINDINGS_SQL}, n AS (SELECT event_id, file, line AS a, line + 20 AS z FROM f WHERE check_id = 'view'), c AS (SELECT file, line - 30 AS a, line + 30 AS z FROM f WHERE check_id = 'purchase')
+SELECT event_id FROM n WHERE EXISTS (SELECT 1 FROM c WHERE c.file = n.file AND n.a <= c.z AND c.a <= n.z)""")
+def annotation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of one kind that a changed band overlaps."""
+    f = findings(spark, sf_dir)
+    notes = f.where("check_id = 'view'").select(F.col("event_id").alias("key"), "file", F.col("line").alias("first_line"), (F.col("line") + 20).alias("last_line"))
+    changed = bands(f.where("check_id = 'purchase'"), None, 30, 30).select("file", "first_line", "last_line")
+    return band_joins.overlapping(notes, changed, F.col("p.file") == F.col("b.file")).select(F.col("key").alias("event_id"))
+
+
+@query(f"""WITH {_BASE_SQL} SELECT DISTINCT o.event_id FROM old o JOIN f d ON d.file = o.file AND ((d.check_id = 'signup' AND o.check_id = 'error') OR d.check_id = 'purchase') WHERE d.line % 50 = 0""")
+def dual_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the baseline that a directive in the same file silences as well."""
+    old, _ = _versions(spark, sf_dir)
+    d = findings(spark, sf_dir).where("line % 50 = 0 AND check_id IN ('signup', 'purchase')")
+    return fi.dual_state(old, d.select("file", F.when(F.col("check_id") == "signup", F.lit("error")).alias("check_id"))).select("event_id")
+
+
+@query(f"""WITH {_FINDINGS_SQL}, c AS (SELECT file, line - 30 AS a, line + 30 AS z FROM f WHERE check_id = 'purchase'), m AS (SELECT *, EXISTS (SELECT 1 FROM c WHERE c.file = f.file AND f.line BETWEEN a AND z) AS fresh FROM f)
+SELECT 'check' AS what, check_id AS name, count(*) AS n FROM m WHERE fresh GROUP BY 2 UNION ALL SELECT 'file', file::VARCHAR, count(*) FROM m WHERE NOT fresh AND file IN (SELECT file FROM c) GROUP BY 2""")
+def fresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir)
+    fresh, legacy = fi.fresh_counts(f, bands(f.where("check_id = 'purchase'"), None, 30, 30).drop("event_id"))
+    return fresh.select(F.lit("check").alias("what"), F.col("check_id").alias("name"), "n").unionByName(legacy.select(F.lit("file").alias("what"), F.col("file").cast("string").alias("name"), "n"))
+
+
+@query(rf"""WITH {_LINES_SQL}, x AS (SELECT *, regexp_replace(content, '[0-9]+', '#', 'g') AS plain FROM g)
+SELECT sha256(plain) AS plain_sha256, count(*) AS n, count(DISTINCT content) AS n_contents, count(DISTINCT doc_id) AS n_docs, min({{'d': doc_id, 'k': at_}}).d AS doc_id, min({{'d': doc_id, 'k': at_}}).k AS "at" FROM x GROUP BY plain HAVING count(*) >= 2""")
+def near_duplicate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three lines that are the same but for their numbers."""
+    found = windows.line_windows(table(spark, sf_dir, "documents"), width=3)
+    return windows.near_repeated(found, F.regexp_replace("content", "[0-9]+", "#"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n\x0c\x0b]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, k::BIGINT AS at_, array_to_string(ws[k : k + 49], ' ') AS content FROM w, unnest(range(1, len(ws) - 48)) AS r(k))
+SELECT sha256(content) AS content_sha256, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min({'d': doc_id, 'k': at_}).d AS doc_id, min({'d': doc_id, 'k': at_}).k AS "at" FROM g GROUP BY content HAVING count(*) >= 2""")
+def duplicate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of fifty words that occur at least twice."""
+    return windows.repeated_windows(windows.token_windows(table(spark, sf_dir, "documents"), 50))
+
+
+@query(r"""WITH s AS (SELECT p_partkey AS id, p_type AS grp, list_distinct([p_name, p_brand, 's' || p_size % 7, 'k' || p_partkey % 3]) AS t FROM part), k AS (SELECT grp, list_sort(t) AS t, min(id) AS id, len(t) AS n FROM s GROUP BY 1, 2, 4),
+e AS (SELECT id, grp, n, unnest(t) AS w FROM k), p AS (SELECT x.grp, x.id AS a, y.id AS b, x.n AS xn, y.n AS yn, count(*) AS n_both FROM e x JOIN e y ON x.grp = y.grp AND x.w = y.w AND x.id < y.id GROUP BY 1, 2, 3, 4, 5)
+SELECT grp, a, b, n_both, (xn + yn - n_both)::BIGINT AS n_either FROM p WHERE 100 * n_both >= 60 * (xn + yn - n_both)""")
+def jaccard_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one type that share most of what describes them."""
+    tokens = F.array("p_name", "p_brand", F.concat(F.lit("s"), F.col("p_size") % 7), F.concat(F.lit("k"), F.col("p_partkey") % 3))
+    return windows.jaccard_groups(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("grp"), tokens.alias("tokens")), "grp", percent=60)
+
+
+@query("SELECT p_name, p_partkey, rank FROM (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS rank FROM part) WHERE rank > 0")
+def related_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.related_places(table(spark, sf_dir, "part"), "p_name", "p_partkey")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, o_orderpriority = '1-URGENT' AS is_majority FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def majority_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.corpus_majority(table(spark, sf_dir, "orders"), "o_orderpriority", pinned="1-URGENT")
+
+
+@query("SELECT quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.5) AS p50 FROM lineitem")
+def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    return spark.range(1).select(stats.nearest_rank(line, "l_extendedprice", 95).alias("p95"), stats.nearest_rank(line, "l_extendedprice", 50).alias("p50"))
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id FROM f WHERE CASE WHEN check_id = 'error' THEN 3 WHEN check_id = 'purchase' THEN 4 ELSE 1 END >= 3")
+def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severity = F.when(F.col("check_id") == "error", F.lit("high")).when(F.col("check_id") == "purchase", F.lit("critical")).otherwise(F.lit("low"))
+    return fi.gate(findings(spark, sf_dir).withColumn("severity", severity), "high").select("event_id")
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT event_id FROM f WHERE check_id IN ('error', 'view') AND file IN (SELECT file FROM f WHERE check_id = 'signup' AND priority > 40)")
+def report_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = findings(spark, sf_dir)
+    return fi.in_scope(f, ["error", "view"], f.where("check_id = 'signup' AND priority > 40")).select("event_id")
+
+
+@query(f"""WITH {_FINDINGS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY priority DESC, event_id::VARCHAR) AS turn FROM f WHERE event_id % 500 <> 0) SELECT event_id, turn FROM p WHERE turn <= 20
+UNION ALL SELECT event_id, 0 FROM f WHERE event_id % 500 = 0""")
+def digest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of items of equal cost: pinned ones, then twenty turns of each of five checks."""
+    f = findings(spark, sf_dir)
+    pinned = table(spark, sf_dir, "events").where("event_id % 500 = 0").count()  # the budget of the query
+    items = f.select("event_id", "check_id", F.col("event_id").cast("string").alias("title"), F.lit("").alias("body"), F.col("priority").alias("score"), (F.col("event_id") % 500 == 0).alias("pinned"), F.lit(20).cast("long").alias("tokens"))
+    return fi.digest(items, 20 * (pinned + 100)).select("event_id", "turn")
+
+
+@query(r"""SELECT doc_id, regexp_extract(coalesce(text, ''), '^[A-Z]') <> '' AS capital, length(coalesce(text, '')) > 8000 AS long, length(CASE WHEN length(text) > 8000 THEN left(text, 8000) || chr(10) || '... (truncated)' ELSE text END)::INT AS shown,
+CASE WHEN coalesce(source, '') SIMILAR TO '[A-Za-z][A-Za-z0-9._]*' AND contains(source, '.') THEN true ELSE false END AS looks FROM documents""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    capital = texts.leading_case(text, F.lit("x")) == "X"
+    return table(spark, sf_dir, "documents").select("doc_id", capital.alias("capital"), (F.char_length(text) > 8000).alias("long"), F.char_length(texts.truncated(F.col("text"))).alias("shown"), texts.looks_like_check_id(F.col("source")).alias("looks"))
+
+
+@query(r"""SELECT doc_id, (length(x) - length(replace(x, chr(10), '')) + 1)::INT AS line, (strlen(regexp_extract(x, '[^\n]*$')) + 1)::INT AS col FROM (SELECT doc_id, left(coalesce(text, ''), 300) AS x FROM documents)""")
+def line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of a byte offset: that of the first 300 characters' end."""
+    found = texts.line_column(F.col("text"), F.octet_length(F.left(F.coalesce("text", F.lit("")), F.lit(300))))
+    return table(spark, sf_dir, "documents").select("doc_id", found["line"].alias("line"), found["column"].alias("col"))

@@ -28,7 +28,9 @@ def glob_regex(glob: str, literal_separator: bool = False) -> str:
         elif c == "[" and "]" in glob[k + 2 :]:
             end = glob.index("]", k + 2)
             body = glob[k + 1 : end]
-            out += "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]"
+            barred = body[0] in "!^"
+            # a class of the glob has ranges only: what else a Java class would read is escaped
+            out += ("[^" if barred else "[") + re.sub(r"([\\\[\]&^])", r"\\\1", body[1:] if barred else body) + "]"
             k = end
         elif c == "{" and "}" in glob[k:]:
             end = glob.index("}", k)
@@ -98,3 +100,57 @@ def layer_of(path: Column, layers: dict[str, list[str]]) -> Column:
     for _, name, test in sorted(known, key=lambda x: x[:2], reverse=True):
         out = F.when(test, F.lit(name)).otherwise(out)
     return out
+
+
+def classified(path: Column, parts: list[str] | tuple[str, ...]) -> Column:
+    """Whether the path, with forward slashes, holds one of the parts."""
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(normal(path), F.lit(p))
+    return out
+
+
+def normal(path: Column) -> Column:
+    """Forward slashes, no ``./`` in front, no slash at the end."""
+    return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\A(?:\./)+", ""), r"(?<=.)/+\z", "")
+
+
+def relative(path: Column, root: str) -> Column:
+    """The path below ``root``; one that is not there stays as it is."""
+    bare = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(normal(path).startswith(bare), F.substr(normal(path), F.lit(len(bare) + 1))).otherwise(normal(path))
+
+
+def stem(path: Column) -> Column:
+    """The last part without its last extension."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*\z", "")
+
+
+def from_template(template: str, path: Column) -> Column:
+    """``{name}`` in a template stands for the path's stem; the result lies in the path's folder."""
+    name = F.replace(F.lit(template), F.lit("{name}"), stem(path))
+    return F.when(dirname(path) == "", name).otherwise(F.concat(dirname(path), F.lit("/"), name))
+
+
+def first_layer(path: Column, layers: dict[str, list[str]]) -> Column:
+    """The layer of the predicate language: the first, by name, one of whose globs matches."""
+    out = F.lit(None).cast("string")
+    for name in sorted(layers, reverse=True):
+        for g in layers[name]:
+            out = F.when(matches(path, g), F.lit(name)).otherwise(out)
+    return out
+
+
+def public(path: Column, entries: list[str], pointers: Column | None = None) -> Column:
+    """Whether a path is of the public surface: named by an entry, matched by a glob in which ``*``
+    stops at slashes, or, without its extension, among ``pointers`` (an array, from the manifest)."""
+    bare = normal(path)
+    out = F.lit(False)
+    for e in entries:
+        if e.startswith("package.json:"):
+            continue
+        e = re.sub(r"\A(?:\./)+", "", e)
+        out = out | (matches(bare, e.replace("\\", "/"), True) if is_glob(e) else bare == F.lit(e))
+    if pointers is not None:
+        out = out | F.coalesce(F.array_contains(pointers, F.regexp_replace(bare, r"(?<=[^/])\.[^./]*\z", "")), F.lit(False))
+    return out

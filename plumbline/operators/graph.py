@@ -1,22 +1,36 @@
-"""Graph operators over an edge table (src, dst).  Each round is a written table."""
+"""Graph operators over an edge table (src, dst).  Each round is a written table.
+
+Defined results, unless an operator says otherwise: edges with a null end count for nothing,
+repeated edges count once, other columns of the edges are not carried, an empty table gives an empty
+one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.cut import mark, release, written
 
 
-def closure(edges: DataFrame, most_depth: int | None = None) -> DataFrame:
-    """(src, dst, depth): everything reachable over one edge or more, at its smallest depth; a
-    node reaches itself over a cycle only."""
-    edges = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
-    return bfs(edges, edges.select("src").distinct(), most_depth)
+def closure(edges: DataFrame, most_depth: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """(src, dst, depth): everything reachable from the seeds (id), at its smallest depth; a node
+    reaches itself at depth 0.  Without seeds all nodes are: a table of up to the square of their
+    number, for small graphs only."""
+    edges = _edges(edges)
+    starts = seeds.select(F.col("id").alias("src")) if seeds is not None else edges.select("src").union(edges.select("dst"))
+    starts = starts.where("src IS NOT NULL").distinct()
+    own = starts.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth"))
+    return own.unionByName(bfs(edges, starts, most_depth).where("src <> dst"))
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    return written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
 
 
 def bfs(edges: DataFrame, starts: DataFrame, most_depth: int | None = None) -> DataFrame:
-    """(src, dst, depth) from the nodes of ``starts`` (src), at most ``most_depth`` steps."""
+    """(src, dst, depth) from the nodes of ``starts`` (src), over one edge at least and
+    ``most_depth`` at most; a start reaches itself over a cycle only."""
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     frontier = written(starts.distinct().join(edges, "src").select("src", "dst", F.lit(1).alias("depth")).distinct(), "frontier")
     seen, depth = frontier, 1
@@ -28,6 +42,18 @@ def bfs(edges: DataFrame, starts: DataFrame, most_depth: int | None = None) -> D
     return seen
 
 
+def bounded_bfs(edges: DataFrame, seeds: DataFrame, most_depth: int) -> DataFrame:
+    """(src, dst, depth) within ``most_depth`` steps of the seeds (id), a start itself left out."""
+    edges = _edges(edges)
+    return bfs(edges, seeds.select(F.col("id").alias("src")), most_depth).where("src <> dst")
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, out: bool = True) -> DataFrame:
+    """Edges that leave (or enter) the nodes (id), with the edges' own columns."""
+    here = "src" if out else "dst"
+    return edges.join(nodes.select(F.col("id").alias("__n")).distinct(), F.col(here) == F.col("__n"), "left_semi")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest node reachable without regard to direction, of every node of
     ``edges`` (src, dst).
@@ -52,57 +78,225 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Up to so many edges between nodes that may lie on cycles, the components are found on the driver.
+LOCAL_EDGES = 200_000
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, scc) of the nodes on cycles, self loops included; scc is the smallest member.
 
-    Colouring: the smallest node that reaches a node colours it; what reaches the colour's node
-    within the colour is one component.  Components found leave, the rest is coloured again."""
-    left = written(edges.select("src", "dst").distinct(), "edges")
-    loops = left.where("src = dst").select(F.col("src").alias("id"))
-    found = None
+    Nodes without an edge in or out are trimmed, round by round.  What is left is small in most
+    graphs: up to ``local_edges`` edges it is solved on the driver.  Beyond that by colouring: the
+    smallest node that reaches a node colours it; what reaches the colour's node within the colour is
+    one component.  Components found leave, the rest is trimmed and coloured again."""
+    spark = edges.sparkSession
+    every = _edges(edges)
+    kind = every.schema["src"].dataType
+    loops = every.where("src = dst").select(F.col("src").alias("id"))
+    left = every.where("src <> dst")
+    found = spark.createDataFrame([], f"id {kind.simpleString()}, scc {kind.simpleString()}")
     while True:
-        # nodes without an edge in or out are on no cycle
-        while True:
-            core = left.select("src").intersect(left.select("dst")).withColumnRenamed("src", "id")
+        n = left.limit(local_edges + 1).count()
+        while n > local_edges:
+            core = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+            core = written(core, "core")
             kept = written(left.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
-            before, after = left.count(), kept.count()
+            before, n = left.count(), kept.count()
             left = kept
-            if after in (0, before):
-                break
-        if not after:
+            if n > 0.9 * before:
+                break  # hardly any are trimmed any more
+        if n <= local_edges:
+            members = tarjan([(r["src"], r["dst"]) for r in left.collect()])  # at most ``local_edges`` rows
+            own = spark.createDataFrame([(i, min(m)) for m in members if len(m) > 1 for i in m], found.schema)
+            found = found.unionByName(own)
             break
-        colour = written(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
-        while True:
-            reach = left.join(colour, left["src"] == colour["id"]).groupBy("dst").agg(F.min("colour").alias("c"))
-            new = written(colour.join(reach, colour["id"] == reach["dst"], "left").select("id", "colour", F.least("colour", "c").alias("new")), "colour")
-            done = not new.where("new < colour").limit(1).count()
-            colour = new.select("id", F.col("new").alias("colour"))
-            if done:
-                break
-        inside = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("d")), "dst")
-        inside = written(inside.where("c = d").select("src", "dst", "c"), "inside")
-        frontier = written(colour.where("id = colour").select("id", F.col("colour").alias("scc")), "scc")
-        own = frontier
-        while frontier.limit(1).count():
-            back = frontier.join(inside, (frontier["id"] == inside["dst"]) & (frontier["scc"] == inside["c"])).select(F.col("src").alias("id"), "scc").distinct()
-            frontier = written(back.join(own, ["id", "scc"], "left_anti"), "scc")
-            own = own.unionByName(frontier)
-        own = written(own, "scc")
-        found = own if found is None else found.unionByName(own)
+        own = _coloured(left)
+        found = found.unionByName(own)
         gone = own.select("id")
         left = written(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
-    if found is None:
-        return loops.select("id", F.col("id").alias("scc"))
+    found = written(found, "components")
     big = found.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1").select("scc")
-    return found.join(big, "scc", "left_semi").select("id", "scc").unionByName(found.join(loops, "id", "left_semi").select("id", "scc")).distinct().unionByName(
-        loops.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("scc"))
+    several = found.join(big, "scc", "left_semi").select("id", "scc")
+    alone = loops.join(several.select("id"), "id", "left_anti").select("id", F.col("id").alias("scc"))
+    return several.unionByName(alone)
+
+
+def _coloured(left: DataFrame) -> DataFrame:
+    """(id, scc) of the components that hold the smallest node reaching them."""
+    colour = written(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("colour", F.col("id")), "colour")
+    while True:
+        reach = left.join(colour, left["src"] == colour["id"]).groupBy("dst").agg(F.min("colour").alias("c"))
+        new = written(colour.join(reach, colour["id"] == reach["dst"], "left").select("id", "colour", F.least("colour", "c").alias("new")), "colour")
+        done = not new.where("new < colour").limit(1).count()
+        colour = new.select("id", F.col("new").alias("colour"))
+        if done:
+            break
+    inside = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("d")), "dst")
+    inside = written(inside.where("c = d").select("src", "dst", "c"), "inside")
+    frontier = written(colour.where("id = colour").select("id", F.col("colour").alias("scc")), "scc")
+    own = frontier
+    while frontier.limit(1).count():
+        back = frontier.join(inside, (frontier["id"] == inside["dst"]) & (frontier["scc"] == inside["c"])).select(F.col("src").alias("id"), "scc").distinct()
+        frontier = written(back.join(own, ["id", "scc"], "left_anti"), "scc")
+        own = own.unionByName(frontier)
+    return written(own, "scc")
+
+
+def tarjan(edges: list[tuple]) -> list[list]:
+    """Strong components of a small graph, without recursion: nodes are numbered as they are entered,
+    and a node whose lowest reachable number is its own closes a component."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    number: dict = {}
+    low: dict = {}
+    held: list = []
+    on: set = set()
+    out: list[list] = []
+    for root in after:
+        if root in number:
+            continue
+        work = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in number:
+                    number[nxt] = low[nxt] = len(number)
+                    held.append(nxt)
+                    on.add(nxt)
+                    work.append((nxt, iter(after[nxt])))
+                    break
+                if nxt in on:
+                    low[node] = min(low[node], number[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(held.pop())
+                        on.discard(own[-1])
+                    out.append(own)
+    return out
+
+
+def blast_radius(edges: DataFrame, changed: DataFrame, most_depth: int = 4, names: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """Who imports the changed nodes (id): the smallest depth, the way back to the changed node, and
+    a score that falls by depth.
+
+    ``edges`` (src, dst, and ``name`` if ``names`` are given); ``names`` (id, name): exported names
+    that changed, an importer of one of them at depth 1 matches; ``tests`` (id) score 5 more.  Of
+    several ways to a node the shallowest wins, then one that matches, then that to the smallest
+    changed node, then the smallest way.  Changed nodes themselves are left out; a node that is not
+    reached has no row; self imports lead nowhere."""
+    since = changed.select("id").where("id IS NOT NULL").distinct()
+    named = names is not None
+    back = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("next"), *(["name"] if named else []))
+    hit = F.lit(False)
+    if named:
+        met = names.select(F.col("id").alias("at"), "name").distinct().withColumn("__m", F.lit(True))
+        back = back.join(met, ["at", "name"], "left")
+        hit = F.coalesce("__m", F.lit(False))
+    back = written(back.groupBy("at", "next").agg(F.max(hit).alias("hit")), "back")
+    frontier = written(since.select("id", F.col("id").alias("root"), F.array("id").alias("path"), F.lit(False).alias("hit")), "frontier")
+    seen, found = since, None
+    for depth in range(1, most_depth + 1):
+        steps = frontier.select(F.col("id").alias("at"), "root", "path", F.col("hit").alias("before")).join(back, "at").join(seen.select(F.col("id").alias("next")), "next", "left_anti")
+        matched = F.col("hit") if depth == 1 else F.col("before")
+        best = F.min(F.struct((~matched).alias("miss"), "root", F.concat("path", F.array("next")).alias("path"))).alias("b")
+        new = steps.groupBy(F.col("next").alias("id")).agg(best).select("id", F.lit(depth).cast("long").alias("depth"), "b.root", "b.path", (~F.col("b.miss")).alias("hit"))
+        frontier = written(new, "frontier")
+        found = frontier if found is None else found.unionByName(frontier)
+        seen = seen.unionByName(frontier.select("id"))
+        if not frontier.limit(1).count():
+            break
+    extra = F.lit(0)
+    if tests is not None:
+        found = found.join(tests.select("id", F.lit(5).alias("__t")).distinct(), "id", "left")
+        extra = F.coalesce("__t", F.lit(0))
+    base = F.when(F.col("hit") & (F.col("depth") == 1), F.lit(95)).otherwise(F.lit(70))
+    return found.select("id", "depth", "root", "path", "hit", F.greatest(F.lit(6), base - 15 * (F.col("depth") - 1) + extra).cast("long").alias("score"))
+
+
+def reaching(edges: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, target): of the seeds (id), those that reach a target node (id), themselves included, with
+    the smallest target.  Walks back from the targets, so that work grows with what reaches them."""
+    edges = _edges(edges)
+    seen = written(targets.select("id", F.col("id").alias("target")).distinct(), "reached")
+    frontier = seen
+    while frontier.limit(1).count():
+        new = frontier.join(edges, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "target").distinct()
+        frontier = written(new.join(seen, ["id", "target"], "left_anti"), "reached")
+        seen = seen.unionByName(frontier)
+    return seen.join(seeds.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("target").alias("target"))
+
+
+# ---------------------------------------------------------------- the property graph of imports
+
+
+def node_id(kind: str, *parts: str) -> Column:
+    """A node's number from its kind and name: the same in every run, without a join."""
+    return F.xxhash64(F.lit(kind), *[F.coalesce(F.col(p), F.lit("")) for p in parts])
+
+
+def vertices(files: DataFrame, exports: DataFrame, layers: DataFrame | None = None) -> DataFrame:
+    """id, type, path, lang, name, kind: files (file, language), exported symbols (file, name, kind) and
+    layers (layer)."""
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    out = files.select(node_id("file", "file").alias("id"), F.lit("file").alias("type"), F.col("file").alias("path"), F.col("language").alias("lang"), none("name"), none("kind")).distinct()
+    out = out.unionByName(exports.select(node_id("symbol", "file", "name").alias("id"), F.lit("symbol").alias("type"), F.col("file").alias("path"), none("lang"), "name", "kind").distinct())
+    return out if layers is None else out.unionByName(layers.select(node_id("layer", "layer").alias("id"), F.lit("layer").alias("type"), none("path"), none("lang"), F.col("layer").alias("name"), none("kind")).distinct())
+
+
+def import_edges(imports: DataFrame) -> DataFrame:
+    """src, dst, type, import_kind, source_name, local_name, type_only, owner: one edge for each name of a
+    resolved import (from_file, resolved, type_only, names), one bare edge for an import of none."""
+    rows = imports.where("resolved IS NOT NULL").select("from_file", "resolved", "type_only", F.explode_outer("names").alias("n"))
+    typed = F.col("type_only") | F.coalesce("n.type_only", F.lit(False))
+    return rows.select(
+        node_id("file", "from_file").alias("src"),
+        node_id("file", "resolved").alias("dst"),
+        F.when(typed, F.lit("imports_as_type")).otherwise(F.lit("imports_as_value")).alias("type"),
+        F.coalesce("n.kind", F.lit("side_effect")).alias("import_kind"),
+        F.col("n.source_name").alias("source_name"),
+        F.col("n.local_name").alias("local_name"),
+        typed.alias("type_only"),
+        F.col("from_file").alias("owner"),
     )
 
 
-def blast_radius(edges: DataFrame, changed: DataFrame, most_depth: int = 4) -> DataFrame:
-    """Who imports the changed nodes (id), at which smallest depth, with a score that falls by it;
-    changed nodes themselves are left out."""
-    back = written(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "edges")
-    reached = bfs(back, changed.select(F.col("id").alias("src")), most_depth).groupBy(F.col("dst").alias("id")).agg(F.min("depth").alias("depth"))
-    score = F.greatest(F.lit(6), F.lit(70) - 15 * (F.col("depth") - 1))
-    return reached.join(changed, "id", "left_anti").select("id", F.col("depth").cast("long").alias("depth"), score.cast("long").alias("score"))
+def layer_edges(placed: DataFrame) -> DataFrame:
+    """Edges from files to their layers, from (file, layer); a file without a layer has none."""
+    held = placed.where("layer IS NOT NULL").distinct()
+    return held.select(node_id("file", "file").alias("src"), node_id("layer", "layer").alias("dst"), F.lit("in_layer").alias("type"), F.lit(None).cast("string").alias("import_kind"), F.lit(None).cast("string").alias("source_name"), F.lit(None).cast("string").alias("local_name"), F.lit(False).alias("type_only"), F.col("file").alias("owner"))
+
+
+def replace_owner(edges: DataFrame, owners: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """The edges without those that the files ``owners`` (file) contributed, and with their new ones."""
+    kept = edges.join(owners.select(F.col("file").alias("owner")).distinct(), "owner", "left_anti").select(*edges.columns)
+    return kept if fresh is None else kept.unionByName(fresh)
+
+
+def lookup(vertices: DataFrame, paths: DataFrame) -> DataFrame:
+    """Vertices of the files ``paths`` (path): found by their number."""
+    return vertices.join(paths.select(F.xxhash64(F.lit("file"), "path").alias("id")).distinct(), "id", "left_semi")
+
+
+def incoming(edges: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """By node: whether it is taken as a namespace, by default, and the set of names taken.  ``tests``
+    (id): importers whose edges count for the second triple of columns only when they are not among
+    them.  The names of one node are distinct export names, so the sets are bounded by its exports."""
+    rows = edges.where("type IN ('imports_as_value', 'imports_as_type')")
+    rows = rows.withColumn("__t", F.lit(False)) if tests is None else rows.join(tests.select(F.col("id").alias("src"), F.lit(True).alias("__t")).distinct(), "src", "left").withColumn("__t", F.coalesce("__t", F.lit(False)))
+    own = ~F.col("__t")
+    ns, default = F.col("import_kind") == "namespace", (F.col("import_kind") == "default") | ((F.col("import_kind") == "named") & (F.col("source_name") == "default"))
+    named = F.when((F.col("import_kind") == "named") & (F.col("source_name") != "default"), F.col("source_name"))
+    return rows.groupBy(F.col("dst").alias("id")).agg(
+        F.max(ns).alias("namespace"), F.max(default).alias("default"), F.array_sort(F.collect_set(named)).alias("names"),
+        F.max(ns & own).alias("namespace_own"), F.max(default & own).alias("default_own"), F.array_sort(F.collect_set(F.when(own, named))).alias("names_own"),
+    )

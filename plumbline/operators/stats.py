@@ -1,4 +1,9 @@
-"""Duplicates, outliers and majorities."""
+"""Duplicates, outliers and majorities.
+
+Defined results: null names, values and groups count for nothing where a name or value is asked for,
+and are a group of their own in ``local_majority``; repeated rows count each; empty tables give empty
+ones.  Statistics of a whole table are scalar subqueries: no job runs while the plan is built.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +12,34 @@ from pyspark.sql import functions as F
 
 
 def duplicate_names(rows: DataFrame, name: str, *place: str) -> DataFrame:
-    """Names that occur at least twice: the first place, the number of others."""
-    first = F.min(F.struct(*place)).alias("p")
-    found = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), first).where("n >= 2")
+    """Names that occur at least twice: the first place, the number of others, and those."""
+    one = F.struct(*place)
+    found = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), F.min(one).alias("p")).where("n >= 2")
     return found.select(name, *[F.col(f"p.{c}").alias(c) for c in place], (F.col("n") - 1).alias("n_related"))
 
 
+def related_places(rows: DataFrame, name: str, *place: str) -> DataFrame:
+    """The other places of names that occur at least twice, one row each with its rank (the first
+    place of a name has rank 0 and is left out).  Only duplicated names are ordered; a name's places
+    are ranked in one task, so a name with very many places costs one sort."""
+    from pyspark.sql import Window
+
+    twice = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("__n")).where("__n >= 2").select(name)
+    w = Window.partitionBy(name).orderBy(*place)
+    held = rows.join(twice, name, "left_semi").withColumn("rank", F.row_number().over(w) - 1)
+    return held.where("rank > 0").select(name, *place, F.col("rank").cast("long").alias("rank"))
+
+
 def outliers(rows: DataFrame, value: str, sigmas: float = 3.0, least_rows: int = 8, least_value: float = 8.0) -> DataFrame:
     """Rows above mean + ``sigmas`` sample deviations, at least ``least_value``; none where there
     are fewer than ``least_rows`` rows or no spread.  Adds mean, sd and threshold."""
     x = F.col(value).cast("double")
-    s = rows.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")).first()  # one row
-    if s["n"] < least_rows or not s["sd"]:
-        return rows.where("false").withColumns({k: F.lit(0.0) for k in ("mean", "sd", "threshold")})
-    limit = s["mean"] + sigmas * s["sd"]
-    out = rows.where((x > limit) & (x >= least_value))
-    return out.withColumns({"mean": F.lit(s["mean"]), "sd": F.lit(s["sd"]), "threshold": F.lit(limit)})
+    s = F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
+    held = rows.withColumn("__s", rows.agg(s).scalar())
+    mean, sd = F.col("__s.mean"), F.col("__s.sd")
+    limit = mean + sigmas * sd
+    out = held.withColumns({"mean": mean, "sd": sd, "threshold": limit})
+    return out.where((F.col("__s.n") >= least_rows) & (sd > 0) & (x > limit) & (x >= least_value)).drop("__s")
 
 
 def local_majority(rows: DataFrame, group: str, value: Column) -> DataFrame:
@@ -34,8 +51,26 @@ def local_majority(rows: DataFrame, group: str, value: Column) -> DataFrame:
     return votes.withColumn("majority", verdict)
 
 
-def corpus_majority(rows: DataFrame, value: str, least: int = 8) -> DataFrame:
-    """All values with their counts; ``is_majority`` for one with over half of at least ``least``."""
+def corpus_majority(rows: DataFrame, value: str, least: int = 8, pinned: str | None = None) -> DataFrame:
+    """All values with their counts; ``is_majority`` for one with over half of at least ``least``,
+    or, where one is ``pinned``, for that one, however often it occurs."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count(value).alias("n")).first()["n"]
-    return counts.withColumn("is_majority", (F.lit(total) >= least) & (F.col("n") > F.floor(F.lit(total) / 2)))
+    if pinned is not None:
+        return counts.withColumn("is_majority", F.col(value) == pinned)
+    total = rows.agg(F.count(value)).scalar()
+    return counts.withColumn("__t", total).withColumn("is_majority", (F.col("__t") >= least) & (F.col("n") > F.floor(F.col("__t") / 2))).drop("__t")
+
+
+def fans(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """id, fan_in, fan_out: one count per edge row of (src, dst); with ``nodes`` (id), also those
+    without edges."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    if nodes is not None:
+        ends = ends.unionByName(nodes.select("id", F.lit(0).alias("i"), F.lit(0).alias("o")))
+    return ends.where("id IS NOT NULL").groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
+
+
+def nearest_rank(rows: DataFrame, value: str, percent: float) -> Column:
+    """The percentile by nearest rank, as a scalar: the smallest value that at least ``percent`` of
+    the values do not exceed."""
+    return rows.agg(F.expr(f"percentile_disc({percent / 100.0}) WITHIN GROUP (ORDER BY `{value}`)")).scalar()

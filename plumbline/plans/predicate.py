@@ -6,7 +6,9 @@
                  transitively imports | exports) operand
     operand = string | basename(x) | dirname(x) | file.path | operand + operand
 
-A null subject reads '' for ==, and is unlike everything for !=.
+A null subject reads '' for ==, and is unlike everything for !=; a null operand reads ''; a file
+without imports or exports has none.  So every comparison is true or false, and a rule never loses a
+file to a null.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ class PredicateError(ValueError):
 @dataclass(frozen=True)
 class Facts:
     """Columns that a predicate may ask for.  ``imports`` is an array of structs (specifier,
-    resolved, type_only); ``exports`` of names; ``reachable`` of all paths reached by imports;
+    resolved, type_only, and with ``named`` names, an array of structs with type_only); ``exports``
+    of names; ``reachable`` of all paths reached by imports.  ``transitive`` gives, for a pattern,
+    whether the file reaches an import of it (without it or ``reachable``: its own imports);
     ``exists`` gives a test for a path."""
 
     path: Column
@@ -41,12 +45,39 @@ class Facts:
     exports: Column | None = None
     reachable: Column | None = None
     exists: Callable[[Column], Column] | None = None
+    transitive: Callable[[str], Column] | None = None
+    named: bool = False
+
+
+SUBJECTS = ("file", "file.path", "file.layer")
+OPERATORS = ("matches", "==", "!=", "in", "imports", "exports", "transitively")
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements that make ``a`` into ``b``."""
+    row = list(range(len(b) + 1))
+    for k, x in enumerate(a, 1):
+        before, row[0] = row[0], k
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def _like(word: str, known: tuple[str, ...]) -> str:
+    """A hint at the nearest known word, if one is within two edits."""
+    near = min(known, key=lambda k: (edit_distance(word, k), k))
+    return f"; did you mean {near!r}?" if edit_distance(word, near) <= 2 else ""
 
 
 def _named(value: Column, pattern: str) -> Column:
     return matches(value, pattern) if is_glob(pattern) else value == F.lit(pattern)
 
 
+def _any(values: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether any element passes; none of a null array does."""
+    return F.coalesce(F.exists(values, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+
 class _Parser:
     def __init__(self, source: str, facts: Facts) -> None:
         self._facts, self._at, self._depth = facts, 0, 0
@@ -113,7 +144,7 @@ class _Parser:
             self._take("(")
             path = self._operand()
             self._take(")")
-            return self._need("exists", self._facts.exists)(path)
+            return F.coalesce(self._need("exists", self._facts.exists)(F.coalesce(path, F.lit(""))), F.lit(False))
         return self._comparison(name)
 
     def _need(self, what: str, found):  # noqa: ANN001, ANN202
@@ -126,7 +157,7 @@ class _Parser:
             return self._facts.path
         if name == "file.layer":
             return self._need(name, self._facts.layer)
-        raise PredicateError(f"unknown subject {name!r}")
+        raise PredicateError(f"unknown subject {name!r}{_like(name, SUBJECTS)}")
 
     def _string(self) -> str:
         kind, text = self._take()
@@ -137,33 +168,49 @@ class _Parser:
     def _comparison(self, name: str) -> Column:
         subject = self._subject(name)
         _, op = self._take()
+        text = F.coalesce(subject, F.lit(""))
         if op == "matches":
             return F.coalesce(matches(subject, self._string()), F.lit(False))
         if op == "==":
-            return F.coalesce(subject, F.lit("")) == self._operand()
+            return text == F.coalesce(self._operand(), F.lit(""))
         if op == "!=":
-            return subject.isNull() | (subject != self._operand())
+            return subject.isNull() | (text != F.coalesce(self._operand(), F.lit("")))
         if op == "in":
-            return self._need("layers", self._facts.layer).eqNullSafe(F.lit(self._string()))
+            return self._need("layers", self._facts.layer).eqNullSafe(F.coalesce(self._operand(), F.lit("")))
         if op == "transitively":
             self._take("imports")
             pattern = self._string()
-            return F.exists(self._need("transitive imports", self._facts.reachable), lambda p: _named(p, pattern))
+            if self._facts.transitive is not None:
+                return F.coalesce(self._facts.transitive(pattern), F.lit(False))
+            if self._facts.reachable is not None:
+                return _any(self._facts.reachable, lambda p: _named(p, pattern))
+            return self._imports(pattern, "")
         if op == "imports":
             kind = self._take()[1] if self._accept("as") else ""
             if kind not in ("", "type", "value"):
-                raise PredicateError(f"imports as {kind!r} is unknown")
-            pattern = self._string()
-
-            def hit(x: Column) -> Column:
-                found = F.coalesce(_named(x["specifier"], pattern), F.lit(False)) | F.coalesce(_named(x["resolved"], pattern), F.lit(False))
-                return found if not kind else found & (x["type_only"] if kind == "type" else ~x["type_only"])
-
-            return F.exists(self._need("imports", self._facts.imports), hit)
+                raise PredicateError(f"imports as {kind!r} is unknown{_like(kind, ('type', 'value'))}")
+            return self._imports(self._string(), kind)
         if op == "exports":
             pattern = self._string()
-            return F.exists(self._need("exports", self._facts.exports), lambda n: _named(n, pattern))
-        raise PredicateError(f"unknown operator {op!r}")
+            return _any(self._need("exports", self._facts.exports), lambda n: _named(n, pattern))
+        raise PredicateError(f"unknown operator {op!r}{_like(op, OPERATORS)}")
+
+    def _imports(self, pattern: str, kind: str) -> Column:
+        """An import of the specifier or the resolved path; as type, if the statement or one of its
+        names is for types; as value, if the statement is not and it has no names or one for values."""
+
+        def hit(x: Column) -> Column:
+            found = F.coalesce(_named(x["specifier"], pattern), F.lit(False)) | F.coalesce(_named(x["resolved"], pattern), F.lit(False))
+            typed = F.coalesce(x["type_only"], F.lit(False))
+            if kind == "type":
+                names = _any(x["names"], lambda n: n["type_only"]) if self._facts.named else F.lit(False)
+                return found & (typed | names)
+            if kind == "value":
+                names = (F.coalesce(F.size(x["names"]), F.lit(0)) <= 0) | _any(x["names"], lambda n: ~n["type_only"]) if self._facts.named else F.lit(True)
+                return found & ~typed & names
+            return found
+
+        return _any(self._need("imports", self._facts.imports), hit)
 
     def _operand(self) -> Column:
         out = self._term()
