@@ -21,7 +21,7 @@ f AS (
   FROM part
 ),
 pair AS (
-  SELECT a.l_partkey AS src, b.l_partkey AS dst, min(a.l_orderkey * 10 + a.l_linenumber) AS w, min(a.l_returnflag) AS flag
+  SELECT a.l_partkey AS src, b.l_partkey AS dst, min(a.l_orderkey * 10 + a.l_linenumber) * 1000003 + b.l_partkey AS w, min(a.l_returnflag) AS flag
   FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   WHERE a.l_quantity >= 46 GROUP BY a.l_partkey, b.l_partkey
 ),

@@ -19,6 +19,7 @@ EXTENSIONS = (".ts", ".tsx", ".d.ts", ".mts", ".cts", ".js", ".jsx", ".mjs", ".c
 ALIASES = {".js": (".ts", ".tsx", ".js"), ".jsx": (".tsx", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs")}
 
 _MODIFIERS = {"declare", "abstract", "async"}
+_DECLARES = ("const", "let", "var", "function", "class", "interface", "type", "enum", "namespace")
 _NOT_CALLS = {"if", "for", "while", "switch", "catch", "with"}
 _STATEMENT_WORDS = {"return", "throw", "break", "continue", "if", "for", "while", "do", "switch", "try", "const", "let", "var", "function", "class", "import", "export", "interface", "type", "enum"}
 
@@ -276,7 +277,7 @@ class Source:
         if not tally:
             return
         for k, t in enumerate(self.toks):
-            if t.kind == "name" and t.text in tally and k not in self._own and not self._is(k - 1, ".", "?.") and not (self._is(k + 1, ":") and self._is(k - 1, "{", ",") and not self._is(k - 2, "?")):
+            if t.kind == "name" and t.text in tally and k not in self._own and not self._is(k - 1, ".", "?.", *_DECLARES) and not (self._is(k + 1, ":") and self._is(k - 1, "{", ",") and not self._is(k - 2, "?")):
                 tally[t.text] += 1
         for i in self.imports:
             for n in i["names"]:

@@ -7,11 +7,18 @@ one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.cut import mark, release, written
 
+#: Up to so many edges a graph is searched, or its strong components found, in one process.
+LOCAL_EDGES = 200_000
+
 
 def closure(edges: DataFrame, most_depth: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """(src, dst, depth): everything reachable from the seeds (id), at its smallest depth; a node
@@ -28,11 +35,18 @@ def _edges(edges: DataFrame) -> DataFrame:
     return written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
 
 
-def bfs(edges: DataFrame, starts: DataFrame, most_depth: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, most_depth: int | None = None, local_edges: int | None = None) -> DataFrame:
     """(src, dst, depth) from the nodes of ``starts`` (src), over one edge at least and
-    ``most_depth`` at most; a start reaches itself over a cycle only."""
+    ``most_depth`` at most; a start reaches itself over a cycle only.  ``edges`` are stored rows.
+
+    Up to ``local_edges`` edges (default LOCAL_EDGES) go to all tasks, which search from the starts of
+    their own; beyond that every depth is a round of joins."""
+    limit = LOCAL_EDGES if local_edges is None else local_edges
+    starts = starts.distinct()
+    if edges.limit(limit + 1).count() <= limit:
+        return _searched(edges, starts, most_depth)
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    frontier = written(starts.distinct().join(edges, "src").select("src", "dst", F.lit(1).alias("depth")).distinct(), "frontier")
+    frontier = written(starts.join(edges, "src").select("src", "dst", F.lit(1).alias("depth")).distinct(), "frontier")
     seen, depth = frontier, 1
     while (most_depth is None or depth < most_depth) and frontier.limit(1).count():
         depth += 1
@@ -42,6 +56,33 @@ def bfs(edges: DataFrame, starts: DataFrame, most_depth: int | None = None) -> D
     return seen
 
 
+def _searched(edges: DataFrame, starts: DataFrame, most_depth: int | None) -> DataFrame:
+    """The same by tasks that hold all edges (a number bounded by the caller)."""
+    after: dict = {}
+    for r in edges.collect():
+        after.setdefault(r["src"], []).append(r["dst"])
+    shared = edges.sparkSession.sparkContext.broadcast(after)
+    kind = edges.schema["src"].dataType
+    arrow = to_arrow_type(kind)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_of = shared.value
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                depths: dict = {}
+                level, depth = [start], 0
+                while level and (most_depth is None or depth < most_depth):
+                    depth += 1
+                    level = [n for n in dict.fromkeys(n for x in level for n in next_of.get(x, ())) if n not in depths]
+                    depths.update(dict.fromkeys(level, depth))
+                ends = list(depths)
+                for at in range(0, len(ends), 100_000):
+                    own = ends[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([start] * len(own), arrow), pa.array(own, arrow), pa.array([depths[e] for e in own], pa.int32())], ["src", "dst", "depth"])
+
+    return starts.select("src").mapInArrow(rows, f"src {kind.simpleString()}, dst {kind.simpleString()}, depth int")
+
+
 def bounded_bfs(edges: DataFrame, seeds: DataFrame, most_depth: int) -> DataFrame:
     """(src, dst, depth) within ``most_depth`` steps of the seeds (id), a start itself left out."""
     edges = _edges(edges)
@@ -78,10 +119,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: Up to so many edges between nodes that may lie on cycles, the components are found on the driver.
-LOCAL_EDGES = 200_000
-
-
 def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, scc) of the nodes on cycles, self loops included; scc is the smallest member.
 
