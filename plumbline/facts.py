@@ -4,7 +4,7 @@
 are projections of that stored table.  Resolution of specifiers is a join with the listing of files.
 
 Defined results: a null text counts as empty; a file that cannot be read as a program gives an
-error and no facts; repeated paths are files of their own with the same name; an empty table gives
+error and no facts; paths are distinct (``sources.discover`` gives each once); an empty table gives
 empty tables; other columns of the input are not carried.
 """
 
@@ -30,10 +30,11 @@ _NAME = "struct<source_name:string,local_name:string,kind:string,type_only:boole
 _COLUMNS = {
     "imports": f"array<struct<from_file:string,specifier:string,type_only:boolean,span:{SPAN},names:array<{_NAME}>,candidates:array<string>>>",
     "exports": f"array<struct<file:string,name:string,kind:string,type_only:boolean,span:{SPAN},source_specifier:string,candidates:array<string>,declares:string>>",
-    "functions": f"array<struct<name:string,span:{SPAN},params:int,lines:int,cyclomatic:int,throws:int,returns_error:int,mixed:boolean>>",
+    "functions": f"array<struct<name:string,span:{SPAN},params:int,lines:int,cyclomatic:int,cognitive:int,throws:int,returns_error:int,mixed:boolean>>",
     "marks": f"array<struct<kind:string,detail:string,span:{SPAN}>>",
     "shapes": f"array<struct<file:string,name:string,span:{SPAN},fields:array<struct<name:string,type:string>>,extends:array<string>>>",
     "statements": f"array<struct<block:int,run:int,at:int,span:{SPAN},exact:bigint,shape:bigint,bytes:int>>",
+    "types": "array<struct<start_byte:int,end_byte:int,text:string,members:array<string>,null:boolean,undefined:boolean,any:boolean>>",
     "words": f"array<struct<word:string,span:{SPAN}>>",
 }
 _SCHEMA = "file string, language string, error string, " + ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
@@ -50,7 +51,9 @@ def _program(path: str, text: str, paths: dict[str, list[str]] | None) -> dict[s
     source = typescript.Source(path, text, paths)
     if source.faults:
         return {"error": source.faults[0]}
-    return {"imports": source.imports, "exports": source.exports, "functions": source.functions(), "marks": source.marks(), "shapes": source.shapes(), "statements": source.statements(), "words": prose.program_words(source)}
+    functions = source.functions()
+    typed, types = source.typed()
+    return {"imports": source.imports, "exports": source.exports, "functions": functions, "marks": source.marks() + source.habits() + typed, "types": types, "shapes": source.shapes(), "statements": source.statements(), "words": prose.program_words(source)}
 
 
 #: Readers by language: facts of (path, text, path patterns).  Others can be added.
@@ -145,6 +148,12 @@ class Facts:
     def statements(self) -> DataFrame:
         return self._each("statements").select("file", "x.*")
 
+    @property
+    def types(self) -> DataFrame:
+        """file, start_byte, end_byte, text, members, null, undefined, any: the types of values, as far as
+        their own files declare them.  A type checker's table can stand in its place."""
+        return self._each("types").select("file", "x.*").distinct()
+
     @property
     def words(self) -> DataFrame:
         return self._each("words").select("file", "ordinal", "x.word", "x.span")

@@ -12,6 +12,7 @@ import posixpath
 import re
 from typing import Any
 
+from plumbline.lang import bodies
 from plumbline.lang.lexer import Places, Token, partners, tokens
 
 #: Extensions tried for a specifier, in order, and those a JavaScript extension may stand for.
@@ -60,6 +61,7 @@ class Source:
         self.imports: list[dict[str, Any]] = []
         self.exports: list[dict[str, Any]] = []
         self._own: set[int] = set()  # tokens of import and re-export statements
+        self._bodies: list[tuple[int, int, int, int]] = []
         self._modules()
         self._dynamic()
         self._count_uses()
@@ -294,6 +296,7 @@ class Source:
                 if head:
                     found.append((k, self.pair[k], *head))
         inner = {a: [(x, y) for x, y, *_ in found if a < x and y < z] for a, z, *_ in found}
+        self._bodies = [(a, z, params, first) for a, z, params, first, _ in found]
         return [self._function(a, z, params, first, name, inner[a]) for a, z, params, first, name in found]
 
     def _head(self, brace: int) -> tuple[int, int, str] | None:
@@ -411,7 +414,7 @@ class Source:
         lines = end - start - (len(inside) - code)
         block = {k: max((x for x in range(a, k) if self._is(x, "{") and self.pair.get(x, -1) > k), default=a) for k in throws + errors}
         mixed = any(block[x] != block[y] for x in throws for y in errors)
-        return {"name": name, "span": self.span(first, z), "params": self.n_params(params), "lines": lines, "cyclomatic": 1 + branches, "throws": len(throws), "returns_error": len(errors), "mixed": mixed}
+        return {"name": name, "span": self.span(first, z), "params": self.n_params(params), "lines": lines, "cyclomatic": 1 + branches, "cognitive": bodies.cognitive(self, a, z, name, inner), "throws": len(throws), "returns_error": len(errors), "mixed": mixed}
 
     def _fails(self, brace: int) -> bool:
         """Whether an object literal tells of a failure: an error that is not null, or ok: false."""
@@ -428,6 +431,17 @@ class Source:
 
     # ------------------------------------------------------------ places, shapes, statements
 
+    def habits(self) -> list[dict[str, Any]]:
+        """Marks of what functions and classes do inside; after ``functions``."""
+        held = bodies.unused_locals(self, [(a, z) for a, z, _, _ in self._bodies]) + bodies.loops(self) + bodies.map_effects(self) + bodies.hidden_state(self, self._bodies) + bodies.data_bags(self)
+        for a, z, params, _ in self._bodies:
+            held += bodies.function_marks(self, a, z, params)
+        return [{"kind": kind, "detail": detail, "span": self.span(a, z)} for kind, a, z, detail in held]
+
+    def typed(self) -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
+        """Marks that types decide, and the types the file declares; after ``functions``."""
+        return bodies.typed_marks(self, [params for _, _, params, _ in self._bodies])
+
     def marks(self) -> list[dict[str, Any]]:
         """(kind, detail, span) of single places."""
         out: list[dict[str, Any]] = []

@@ -82,6 +82,7 @@ class Context:
     pointers: list[str] = field(default_factory=list)  # public paths that the manifest names
     findings: DataFrame | None = None
     slots: dict[str, DataFrame] = field(default_factory=dict)
+    types: DataFrame | None = None  # of a type checker (facts.Facts.types); else what files declare
 
     def option(self, check_id: str, name: str, default: Any) -> Any:
         return self.policy.options.get(check_id, {}).get(name, default)

@@ -168,6 +168,78 @@ def mixed_errors(ctx: Context) -> DataFrame:
     return _functions(ctx).where("mixed").select("file", "span", said("{} both throws and returns an error-shaped object — pick one error-handling idiom", "shown").alias("message"))
 
 
+@rule("Refactor.CognitiveComplexity", 10, "medium", "A function that is hard to follow.")
+def cognitive(ctx: Context) -> DataFrame:
+    limit = int(ctx.option("Refactor.CognitiveComplexity", "limit", 15))
+    return _functions(ctx).where(F.col("cognitive") > limit).select("file", "span", said("{} has cognitive complexity {}, exceeds limit of {}", "shown", "cognitive", F.lit(limit)).alias("message"))
+
+
+def _two(ctx: Context, kind: str) -> DataFrame:
+    """Marks whose detail is a name, and what is said of it."""
+    cut = F.instr("detail", F.lit(" "))
+    return _marks(ctx, kind).select("file", "span", F.left("detail", cut - 1).alias("name"), F.substr("detail", cut + 1).alias("rest"))
+
+
+@rule("Refactor.UnusedVariable", 10, "low", "A local that nothing reads.")
+def unused_variable(ctx: Context) -> DataFrame:
+    return _marks(ctx, "unused").select("file", "span", said("{} is declared but never read (prefix with `_` if intentional)", quoted("detail")).alias("message"))
+
+
+@rule("Refactor.MutatedParameter", 10, "medium", "A parameter that its function changes.")
+def mutated_parameter(ctx: Context) -> DataFrame:
+    return _two(ctx, "mutated").select("file", "span", said("parameter {} is {} inside the function body", quoted("name"), "rest").alias("message"))
+
+
+@rule("Design.ReadonlyArrayParam", 5, "low", "An array taken to be changed, and never changed.")
+def readonly_array(ctx: Context) -> DataFrame:
+    return _two(ctx, "readonly").select("file", "span", said("parameter {} is never mutated — consider {} for a type-checker-enforced guarantee", quoted("name"), quoted("rest")).alias("message"))
+
+
+@rule("Refactor.PreferArrayMethodOverLoop", -5, "low", "A loop that only pushes.")
+def array_method(ctx: Context) -> DataFrame:
+    return _two(ctx, "loop").select("file", "span", said("this loop only builds {} by pushing one computed value per iteration — could be written with `.{}()`", quoted("name"), "rest").alias("message"))
+
+
+@rule("Refactor.SideEffectInMapCallback", -5, "low", "A callback that should compute only.")
+def map_effect(ctx: Context) -> DataFrame:
+    return _marks(ctx, "map_effect").select("file", "span", said("`.{}` callback has a side effect (mutates outer-scope state or calls `console.*`) instead of purely computing a value", "detail").alias("message"))
+
+
+@rule("Refactor.PurityHeuristic", -10, "low", "An exported function that reads the module's changing state.", enabled=False)
+def purity(ctx: Context) -> DataFrame:
+    return _two(ctx, "hidden").select("file", "span", said("exported function {} reads module-level mutable state ({}) not covered by its parameter list — a hidden dependency working against unit-testability", quoted("name"), "rest").alias("message"))
+
+
+@rule("Design.ClassAsDataBag", -5, "low", "A class that only holds fields.")
+def data_bag(ctx: Context) -> DataFrame:
+    return _marks(ctx, "data_bag").select("file", "span", said("class {} has no behavior beyond storing fields — consider a plain type/interface instead", quoted("detail")).alias("message"))
+
+
+def _typed(ctx: Context, kind: str) -> DataFrame:
+    """Marks on a value, with what is known of its type: an equi-join on the value's bytes."""
+    parts = F.split("detail", "\n")
+    place = F.split(F.get(parts, 0), " ")
+    rows = _marks(ctx, kind).select("file", "span", F.slice(parts, F.lit(2), F.size(parts) - 1).alias("rest"), F.get(place, 0).cast("int").alias("start_byte"), F.get(place, 1).cast("int").alias("end_byte"))
+    return rows.join(ctx.types if ctx.types is not None else ctx.facts.types, ["file", "start_byte", "end_byte"])
+
+
+@rule("Design.UnionExhaustivenessGap", 8, "medium", "A switch that forgets a member of its union.")
+def exhaustiveness(ctx: Context) -> DataFrame:
+    rows = _typed(ctx, "switch").where((F.size("members") > 0) & (F.get("rest", 0) == ""))
+    missing = F.array_except("members", "rest")
+    message = said("switch over a discriminated union doesn't handle every variant and has no default case — missing: {}", F.array_join(missing, ", "))
+    return rows.where(F.size(missing) > 0).select("file", "span", message.alias("message"))
+
+
+@rule("Warning.UnusedNullCheck", 15, "low", "A test for what a type excludes.")
+def unused_null_check(ctx: Context) -> DataFrame:
+    rows = _typed(ctx, "null_test").where("NOT any")
+    what, strict = F.get("rest", 0), F.get("rest", 1) == "strict"
+    redundant = F.when(~strict, ~F.col("null") & ~F.col("undefined")).when(what == "null", ~F.col("null")).otherwise(~F.col("undefined"))
+    excluded = F.when(strict, what).otherwise(F.lit("null or undefined"))
+    return rows.where(redundant).select("file", "span", said("redundant nullish check — value is typed `{}`, which already excludes {}", "text", excluded).alias("message"))
+
+
 # ---------------------------------------------------------------- other languages
 
 

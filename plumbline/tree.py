@@ -577,6 +577,65 @@ def typst_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("check_id", "file", "span.line", "message")
 
 
+#: Sources with what rules find in them: (text, [(rule, line)]).
+_HABITS: list[tuple[str, list[tuple[str, int]]]] = [
+    ("export function a(x: string[], n: number) {\n  n = 1;\n  return x.map(f);\n}\n", [("Refactor.MutatedParameter", 2), ("Design.ReadonlyArrayParam", 1)]),
+    ("class Bag {\n  x = 1;\n  y = 2;\n}\nlet q = 1;\nq++;\nlet r = 2;\n", [("Design.ClassAsDataBag", 1), ("Refactor.PreferConstOverLet", 7)]),
+    ("function f() {\n  const unused = 1;\n  if (a && a.b) { g(a.c || 'd'); }\n  throw new Error('x');\n}\n", [("Refactor.UnusedVariable", 2), ("Refactor.PreferOptionalChain", 3), ("Refactor.PreferNullishCoalescing", 3)]),
+    ("function f() {\n  return { error: 'bad' };\n}\nfor (const x of y) {\n  out.push(x.z);\n}\n", [("Consistency.ErrorHandlingIdiom", 1), ("Refactor.PreferArrayMethodOverLoop", 4)]),
+    ("function f() {\n  if (q) { throw new Error('y'); }\n  xs.map(x => { console.log(x); return x; });\n}\n", [("Refactor.SideEffectInMapCallback", 3)]),
+    ("function f() {\n  if (q) { throw 1; }\n  if (r) { return { ok: false }; }\n}\n", [("Refactor.MixedThrowAndReturnError", 1)]),
+    ("function big(a) {\n" + "  if (a) { b(); }\n" * 11 + "}\n", [("Refactor.CyclomaticComplexity", 1)]),
+    ("function deep(a) {\n  if (a && z) { for (;;) { while (b) { if (c) { if (d) { e(); } } } } }\n}\n", [("Refactor.CognitiveComplexity", 1)]),
+    ("function long() {\n" + "  s();\n" * 50 + "}\n", [("Readability.MaxFunctionLength", 1)]),
+    ("function both(a) {\n" + "  if (a) { b(); }\n" * 76 + "}\n", [("Refactor.LongAndComplex", 1), ("Refactor.CyclomaticComplexity", 1), ("Readability.MaxFunctionLength", 1), ("Refactor.CognitiveComplexity", 1)]),
+    ("let n = 0;\nexport function up() {\n  n = n + 1;\n  return n;\n}\n", [("Refactor.PurityHeuristic", 2)]),
+    ("/** @pure */\nimport fs from 'fs';\n", [("Design.EffectLeakage", 1)]),
+    ("type U = 'a' | 'b' | 1;\nfunction g(u: U, v: string | null, w?: number) {\n  switch (u) { case 'a': return; case 1: break; }\n  if (u === null || v === null || v == null || w != null) { h(); }\n  switch (u) { case 'a': default: }\n}\n", [("Design.UnionExhaustivenessGap", 3), ("Warning.UnusedNullCheck", 4)]),
+    ("function fine(a: number) {\n  // nothing to say\n  return a;\n}\n", []),
+]
+_HABIT_RULES = sorted({c for _, found in _HABITS for c, _ in found})
+
+
+def _habits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.get(F.array(*[F.lit(t) for t, _ in _HABITS]), (F.col("c_custkey") % len(_HABITS)).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("lib/h"), "c_custkey", F.lit(".ts")).alias("path"), text.alias("text"))
+
+
+@query(f"""SELECT 'lib/h' || c_custkey || '.ts' AS file, check_id, line::INT AS line FROM customer JOIN (VALUES {", ".join(f"({k}, '{c}', {n})" for k, (_, found) in enumerate(_HABITS) for c, n in found)}) v(k, check_id, line) ON c_custkey % {len(_HABITS)} = k""")
+def habit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on what functions and classes do inside, over one source of each kind per customer."""
+    found = rules.run(rules.Context(facts.Facts(_habits(spark, sf_dir))), only=_HABIT_RULES)
+    return found.select("file", "check_id", "span.line")
+
+
+@query("SELECT 'Refactor.NearDuplicateBlock' AS check_id, min('b/' || o_orderkey || '.ts') AS file, (count(*) - 1)::INT AS n_related FROM orders WHERE o_orderkey < 500 AND o_orderkey % 10 < 5 UNION ALL SELECT 'Refactor.DuplicateBlock', min('b/' || o_orderkey || '.ts'), (count(*) - 1)::INT FROM orders WHERE o_orderkey < 500 AND o_orderkey % 10 = 5")
+def block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of six statements: some files hold the same, some the same with other numbers, some
+    their own."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    near = F.concat(F.lit("function f() {\n  const a = g("), n, F.lit(");\n  const b = h(a, 'a text that is long enough');\n  if (b) { i(b); }\n  j(b, "), n, F.lit(");\n  k(b);\n  return b;\n}\n"))
+    same = F.lit("function f() {\n  const p = g(1);\n  const q = h(p, 'another text, long enough too');\n  l(q);\n  while (q) { m(q); }\n  n(q, p);\n  return p;\n}\n")
+    own = F.concat(F.lit("function u"), n, F.lit("() {\n  const x"), n, F.lit(" = 1;\n  return x"), n, F.lit(";\n}\n"))
+    text = F.when(k % 10 < 5, near).when(k % 10 == 5, same).otherwise(own)
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500").select(F.concat(F.lit("b/"), n, F.lit(".ts")).alias("path"), text.alias("text"))
+    ctx = rules.Context(facts.Facts(files))
+    found = rules.run_rule("Refactor.DuplicateBlock", ctx).unionByName(rules.run_rule("Refactor.NearDuplicateBlock", ctx))
+    return found.select("check_id", "file", F.size("related").alias("n_related"))
+
+
+@query("""WITH w AS (SELECT page_id AS k, CASE page_id % 4 WHEN 0 THEN 'colour' WHEN 1 THEN 'colors' WHEN 2 THEN 'Grey' ELSE 'Analyze' END AS word FROM pages WHERE page_id % 8 < 4)
+SELECT 'd' || k || '.md' AS file, word, 3::INT AS line, 5::INT AS col FROM w""")
+def prose_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a dialect in Markdown: in prose they count, in code, links and front matter they do not."""
+    k = F.col("page_id")
+    word = F.get(F.array(*[F.lit(x) for x in ("colour", "colors", "Grey", "Analyze")]), (k % 4).cast("int"))
+    text = F.when(k % 8 < 4, F.concat(F.lit("# Head\n\nThe "), word, F.lit(" of `color` and [it](gray.md).\n"))).when(k % 8 < 6, F.concat(F.lit("```\n"), word, F.lit("\n```\n"))).otherwise(F.concat(F.lit("---\nkey: "), word, F.lit("\n---\nText\n")))
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("d"), k, F.lit(".md")).alias("path"), text.alias("text"))
+    return facts.Facts(files).words.select("file", "word", "span.line", F.col("span.column").alias("col"))
+
+
 @query()
 def interval_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of repeated windows of three lines that no earlier place of the text overlaps."""
