@@ -54,13 +54,13 @@ def stale_directives(directives: DataFrame, findings: DataFrame) -> DataFrame:
 def fresh(findings: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """Marks findings inside a changed range (file, first_line, last_line); a range with null lines is
     the whole file.  A finding is marked by its own file and line, so rows that share a key are
-    neither multiplied nor mixed up; a null file or line is not fresh."""
+    neither multiplied nor mixed up; a null file is not fresh, a null line where the whole file is."""
     places = findings.select("file", "line").distinct()
     on = F.col("p.file") == F.col("b.file")
     hit = bands.join(places, changed.where("first_line IS NOT NULL"), on, how="left_semi")
     hit = hit.unionByName(places.alias("p").join(changed.where("first_line IS NULL").alias("b"), on, "left_semi")).distinct()
     hit = hit.select(F.col("file").alias("__f"), F.col("line").alias("__l"), F.lit(True).alias("__hit"))
-    met = findings.join(hit, (F.col("file") == F.col("__f")) & (F.col("line") == F.col("__l")), "left")
+    met = findings.join(hit, (F.col("file") == F.col("__f")) & F.col("line").eqNullSafe(F.col("__l")), "left")
     return met.select(*[F.col(f"`{c}`") for c in findings.columns if c != "fresh"], F.coalesce("__hit", F.lit(False)).alias("fresh"))
 
 

@@ -96,21 +96,55 @@ def select(files: DataFrame, patterns: list[tuple[str, str]] = (), **options) ->
     return files.where(wanted(F.col("path"), **options) & ~ignored(F.col("path"), list(patterns))).orderBy("path")
 
 
+def _levels(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Paths of that name (a glob) in the folders below ``root``, level by level: one listing of the
+    file system for each level.  Spark's own listing leaves out names with a leading dot."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: list[str] = []
+    folders = fs.makeQualified(base).toString().rstrip("/")
+    while True:
+        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folders}/{name}"))
+        out += [s.getPath().toString() for s in found or []]
+        folders += "/*"
+        below = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folders}/*"))
+        if not below:
+            return out
+
+
 def discover(spark: SparkSession, root: str, respect_ignore: bool = True, **options) -> DataFrame:  # noqa: ANN003
     """path (below ``root``), text, content_sha of the files of a folder."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    full = fs.makeQualified(base).toString().rstrip("/")
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace(F.col("path"), "^" + re.escape(full).replace("/", "/+") + "/+", "")
-    named = listing.withColumn("path", F.when(F.col("path").startswith("file:"), F.regexp_replace("path", "^" + re.escape(re.sub(r"\Afile:/+", "file:/", full)).replace("file:/", "file:/+") + "/+", "")).otherwise(below))
+    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    head = re.sub(r"/+", "/+", re.escape(re.sub(r"/+", "/", full)))
+    below = lambda p: re.sub(f"\\A{head}/+", "", p)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listing = read.load(root).select("path", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("content_sha"))
+    if options.get("hidden"):
+        dotted = [p for p in _levels(spark, root, "*") if re.search(r"(\A|/)\.[^/]", below(p))]
+        listing = listing.unionByName(_on_driver(spark, dotted).withColumn("content_sha", F.sha2("text", 256)))
     patterns: list[tuple[str, str]] = []
     if respect_ignore:
         for name in IGNORE_FILES:
-            found = named.where((F.col("path") == name) | F.col("path").endswith(f"/{name}")).select("path", F.col("content").cast("string").alias("text")).collect()  # ignore files
-            patterns += [(posixpath.dirname(r["path"]), line) for r in sorted(found, key=lambda r: r["path"]) for line in (r["text"] or "").splitlines()]
+            for r in _on_driver(spark, _levels(spark, root, name)).orderBy("path").collect():  # ignore files
+                patterns += [(posixpath.dirname(below(r["path"])), line) for line in (r["text"] or "").splitlines()]
+    named = listing.withColumn("path", F.regexp_replace("path", f"^{head}/+", ""))
     held = named.where(wanted(F.col("path"), **options) & ~ignored(F.col("path"), patterns))
-    return held.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("content_sha")).orderBy("path")
+    return held.select("path", F.make_valid_utf8("text").alias("text"), "content_sha").orderBy("path")
+
+
+def _on_driver(spark: SparkSession, found: list[str]) -> DataFrame:
+    """path, text of files whose names Spark's sources leave out: ignore files, and hidden ones if asked
+    for.  Those are few, and read one by one."""
+    rows = []
+    for path in found:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.getFileStatus(where).isFile():
+            stream = fs.open(where)
+            rows.append((path, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return spark.createDataFrame(rows, "path string, text string")
 
 
 def in_memory(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
