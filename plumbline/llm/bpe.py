@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice, repeat
 from typing import Any
@@ -31,6 +32,7 @@ import pyarrow.compute as pc
 MEMO_PIECES = 700_000
 MEMO_CHARS = 24_000_000
 BLOCK_CHARS = 4_000_000
+LEARNT_AT_ONCE = 65_536
 DEFAULT_FILE = "byte_bpe_50k.json"
 ID_TYPE = np.dtype("<u4")
 
@@ -116,7 +118,10 @@ class WordEncoder:
             if held > BLOCK_CHARS:
                 out += self._block(block)
                 block, held = [], 0
-        return out + self._block(block)
+                _give_back()()
+        out += self._block(block)
+        _give_back()()
+        return out
 
     def _block(self, texts: list[str]) -> list[bytes]:
         """Cuts at spaces and newlines; texts where that gave an odd piece are cut by the pattern."""
@@ -179,7 +184,8 @@ class WordEncoder:
         stems = [p[:-1] for p in marked]
         simple = {*alone, *(p for p in stems if p not in known)}
         for some in ([p for p in simple if p.isascii()], [p for p in simple if not p.isascii()]):
-            self._add(some, *self._straight(some))
+            for own in _runs(some):
+                self._add(own, *self._straight(own))
         if marked:
             at = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
             sizes = self._ends[at + 1] - self._ends[at] + 1
@@ -190,8 +196,8 @@ class WordEncoder:
         rest = [p for p in rest if p not in known]
         bare = [p[1:] if p[:1] == " " else p for p in rest]
         odd = [p for p, w in zip(rest, bare, strict=True) if not w or w[0] in SPACES or w[-1] in SPACES]
-        words = list(set(rest) - set(odd))
-        self._add(words, *self._whole(words))
+        for words in _runs(list(set(rest) - set(odd))):
+            self._add(words, *self._whole(words))
         for p in odd:
             ids = self._ids(p)
             self._add([p], ids, np.array([len(ids)]), odd=p != "\n")
@@ -236,6 +242,24 @@ class WordEncoder:
         self._chars = sum(map(len, kept))
 
 
+def _runs(words: list[str]) -> Iterator[list[str]]:
+    """A run at a time: the library keeps some hundred bytes of each id while it encodes."""
+    return (words[at : at + LEARNT_AT_ONCE] for at in range(0, len(words), LEARNT_AT_ONCE))
+
+
+@lru_cache(maxsize=1)
+def _give_back() -> Callable[[], object]:
+    """Gives freed memory back to the system, where the C library can: blocks come and go, and what
+    they leave would add to every worker."""
+    import ctypes
+
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda: None
+    return lambda: trim(0)
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a
