@@ -37,6 +37,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")  # filter at, index at, end, entries, ids,
 BLOCK_BYTES = 64 * 1024
 SHARD_BYTES = 256 * 1024 * 1024
 RESTART = 16
+READERS = 20_000
 BITS_PER_KEY = 10
 HASHES = 7
 
@@ -324,7 +325,7 @@ def read(shards: DataFrame) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return placed.repartition(F.col("path")).mapInArrow(entries, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(placed, shards).mapInArrow(entries, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(shards: DataFrame, ids: DataFrame) -> DataFrame:
@@ -370,7 +371,13 @@ def lookup(shards: DataFrame, ids: DataFrame) -> DataFrame:
                 file.close()
 
     wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(placed, "path string, doc_id long")
-    return wanted.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(found, "doc_id long, n_tokens long, ids_crc32 long")
+    return _dealt(wanted, shards).sortWithinPartitions("path", "doc_id").mapInArrow(found, "doc_id long, n_tokens long, ids_crc32 long")
+
+
+def _dealt(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows that name a shard, dealt to a task per shard (READERS at most).  The number is given, as rows
+    this small would else be put together in one task, which would read all shards."""
+    return rows.repartition(max(1, min(READERS, shards.count())), F.col("path"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
