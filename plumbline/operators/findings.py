@@ -174,7 +174,7 @@ def round_robin(items: DataFrame, provider: str, score: str, *ties: str) -> Data
     return items.withColumn("turn", F.row_number().over(w).cast("long"))
 
 
-def budgeted(items: DataFrame, budget: int, tokens: str, place: list[str], least: int = 20) -> DataFrame:
+def budgeted(items: DataFrame, budget: int, tokens: str, place: str | list[str], least: int = 20) -> DataFrame:
     """Takes items in the order of ``place`` while they fit, passing over those that are too large.
     ``place`` must tell items apart.
 
@@ -182,6 +182,7 @@ def budgeted(items: DataFrame, budget: int, tokens: str, place: list[str], least
     driver holds no more than that: it asks for the next items that could still fit, again and
     again until none could."""
     taken, left = [], budget
+    place = [place] if isinstance(place, str) else place
     rest = items.withColumn("__cost", F.greatest(F.col(tokens), F.lit(least))).withColumn("__at", F.struct(*[F.col(p).isNull().alias(f"null_{p}") for p in place], *place))
     while left >= least:
         rows = rest.where(F.col("__cost") <= left).orderBy("__at").limit(left // least).collect()
