@@ -147,8 +147,42 @@ SELECT p.doc_id, p.n::BIGINT AS n_shingles, least(p.doc_id, coalesce(r.low, p.do
 FROM placed p LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = p.doc_id
 """
 
+_LUHN = """list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN d[i]::INT ELSE (2 * d[i]::INT) // 10 + (2 * d[i]::INT) % 10 END)) % 10 = 0"""
+_SPANS = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS (SELECT doc_id,
+  regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+') AS email,
+  regexp_extract_all(x, '[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)') AS ip,
+  list_transform(regexp_extract_all(x, '[0-9]([\x20-]?[0-9])+'), lambda v: string_split(regexp_replace(v, '[^0-9]', '', 'g'), '')) AS card,
+  list_transform(regexp_extract_all(x, '[+][0-9][\x20().0-9-]+[0-9]'), lambda v: length(regexp_replace(v, '[^0-9]', '', 'g'))) AS phone FROM t)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+  len(list_filter(ip, lambda v: len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(right(p, 3) AS INT), 0) > 255)) = 0))::BIGINT AS n_ip,
+  len(list_filter(card, lambda d: len(d) BETWEEN 13 AND 19 AND {_LUHN}))::BIGINT AS n_card,
+  len(list_filter(phone, lambda n: n BETWEEN 9 AND 15))::BIGINT AS n_phone FROM m"""
+
+#: crc32 of a number's digits, bit by bit.
+_UNIGRAM = rf"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, doc_id::VARCHAR AS s, 1 AS at_, 0 AS bit, xor(4294967295::BIGINT, ascii(left(doc_id::VARCHAR, 1))::BIGINT) AS v FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, s, CASE WHEN bit = 7 THEN at_ + 1 ELSE at_ END, (bit + 1) % 8,
+    xor(CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, CASE WHEN bit = 7 AND at_ < length(s) THEN ascii(substr(s, at_ + 1, 1))::BIGINT ELSE 0 END)
+  FROM crc WHERE at_ <= length(s)
+),
+held AS (SELECT doc_id, xor(v, 4294967295::BIGINT) % 5 = 1 AS held_out FROM crc WHERE at_ > length(s)),
+d AS (SELECT row_number() OVER () AS rid, documents.doc_id, coalesce(held_out, false) AS held_out,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents LEFT JOIN held USING (doc_id)),
+tok AS (SELECT rid, doc_id, held_out, unnest(list_append(list_transform(w, lambda x: 'w' || x), 'end')) AS t FROM d),
+c AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)))), 1) AS base_score FROM tok LEFT JOIN c USING (t), n GROUP BY rid"""
+
 ORACLES: dict[str, str] = {
     "op10_near_duplicates": _NEAR,
+    "media_payloads": """SELECT doc_id, n AS n_bytes, n + p AS payload_bytes, sha256(x || repeat(' ', p)) AS payload_sha256
+FROM (SELECT doc_id, x, strlen(x) AS n, CASE WHEN strlen(x) = 0 THEN 192 ELSE (192 - strlen(x) % 192) % 192 END AS p FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))""",
+    "pii_counts": _SPANS,
+    "unigram_scores": _UNIGRAM,
+
     "op1_preferences": _CHAT,
     "op3_mixing": _MIX,
     "op6_quality_rules": f"WITH {JUDGED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, array_to_string(list_filter([{_FAILED}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM judged",

@@ -85,6 +85,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+# what SQL can say of operators that it cannot express as a whole
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and hashes of the payloads that op5 reads back from its files."""
+    return op5_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans of each kind op8 finds."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base score that op9 gives beside the model's."""
+    return op9_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 1).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_preferences, op2_sstable, op3_mixing, op4_site_quality, op5_matroska, op6_quality_rules, op7_packing, op8_pii, op9_hmm, op10_near_duplicates)
+    f.__name__: f
+    for f in (op1_preferences, op2_sstable, op3_mixing, op4_site_quality, op5_matroska, op6_quality_rules, op7_packing, op8_pii, op9_hmm, op10_near_duplicates, media_payloads, pii_counts, unigram_scores)
 }
