@@ -39,6 +39,7 @@ from plumbline.llm.components import components
 ROWS = 4
 SKETCHES = 18
 BIT_WORDS = 3
+PARITY = 1024
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -163,18 +164,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """PARITY bits of a set: whether an odd number of its shingles fall to each.  Two sets differ in as
+    many shingles as their bits differ in places, at least."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, label, outside, and the full shingle set, from the text."""
+    """doc_id, label, outside, the parity bits and the full shingle set, from the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 block = batch.slice(at, 500)
-                sets = [shingle_set(x, width).view(np.int64) for x in block.column(3).to_pylist()]
+                sets = [shingle_set(x, width) for x in block.column(3).to_pylist()]
                 edges = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.ListArray.from_arrays(edges, np.concatenate(sets))], ["doc_id", "label", "outside", "shingles"])
+                places = np.arange(len(sets) + 1, dtype=np.int32) * (PARITY // 64)
+                parity = pa.ListArray.from_arrays(places, np.concatenate([parity_bits(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([*block.columns[:3], parity, pa.ListArray.from_arrays(edges, np.concatenate(sets).view(np.int64))], ["doc_id", "label", "outside", "parity", "shingles"])
 
-    return docs.select("doc_id", "label", "outside", "text").mapInArrow(rows, "doc_id long, label long, outside boolean, shingles array<long>")
+    return docs.select("doc_id", "label", "outside", "text").mapInArrow(rows, "doc_id long, label long, outside boolean, parity array<long>, shingles array<long>")
 
 
 def _prefix_pairs(inside: DataFrame, texts: DataFrame, bits: DataFrame, width: int, percent: int) -> DataFrame:
@@ -184,7 +194,8 @@ def _prefix_pairs(inside: DataFrame, texts: DataFrame, bits: DataFrame, width: i
     Two sets can only be that similar if they share a shingle among the n - ceil(n * percent
     / 100) + 1 rarest of either.  Shingles that one document alone has fill places of that
     prefix without ever matching, so most documents of a loose group drop out here; so do
-    pairs whose first shared shingle comes too late in either order."""
+    pairs whose first shared shingle comes too late in either order, and those whose parity bits
+    differ in more places than a link leaves shingles apart."""
     sets = written(_sets(inside.join(texts, "doc_id"), width), "open-sets")
     n = F.size("shingles")
     each = sets.select("doc_id", F.explode("shingles").alias("s"))
@@ -193,14 +204,17 @@ def _prefix_pairs(inside: DataFrame, texts: DataFrame, bits: DataFrame, width: i
     left = (n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1) - (n - F.size("r"))
     prefixes = sets.join(ranked, "doc_id").withColumn("left", left).where("left > 0")
     # places count the shingles that the document has alone: those are the rarest
-    prefixes = prefixes.select("doc_id", "label", "outside", n.alias("n"), (n - F.size("r")).alias("alone"), F.posexplode(F.slice("r.s", 1, F.col("left"))).alias("k", "s"))
-    prefixes = prefixes.select("doc_id", "label", "outside", "n", (F.col("alone") + F.col("k") + 1).alias("at"), "s")
+    prefixes = prefixes.select("doc_id", "label", "outside", "parity", n.alias("n"), (n - F.size("r")).alias("alone"), F.posexplode(F.slice("r.s", 1, F.col("left"))).alias("k", "s"))
+    prefixes = prefixes.select("doc_id", "label", "outside", "parity", "n", (F.col("alone") + F.col("k") + 1).alias("at"), "s")
     prefixes = written(prefixes.join(bits, "doc_id"), "prefixes")
     x, y = prefixes.where("outside").alias("x"), prefixes.alias("y")
     fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & _may_link(F.col("x.bits"), F.col("y.bits"), percent)
     # the first shingle that both have leaves too little after it for the overlap needed
     overlap = F.ceil((F.col("x.n") + F.col("y.n")) * (percent / (100.0 + percent)) - 1e-9)
     fits = fits & (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= overlap)
+    # the sets differ in one shingle at least for each parity bit that differs
+    differ = sum((F.bit_count(F.get(F.col("x.parity"), k).bitwiseXOR(F.get(F.col("y.parity"), k))) for k in range(1, PARITY // 64)), F.bit_count(F.get(F.col("x.parity"), 0).bitwiseXOR(F.get(F.col("y.parity"), 0))))
+    fits = fits & (F.col("x.n") + F.col("y.n") - differ >= 2 * overlap)
     once = ~F.col("y.outside") | (F.col("x.doc_id") < F.col("y.doc_id"))
     pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & fits)
     return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
@@ -290,7 +304,9 @@ def _by_id(known: DataFrame, sketches: DataFrame, width: int, percent: int) -> D
     rows = rows.join(is_open(rows), "key", "left_semi")
     one = F.struct("doc_id", "label")
     pivots = rows.groupBy("key").agg(F.array(F.min(one), F.max_by(one, F.xxhash64("doc_id"))).alias("p"))
-    met = rows.join(pivots, "key").select("doc_id", F.transform(F.filter("p", lambda x: x["label"] != F.col("label")), lambda x: x["doc_id"]).alias("pivots"))
+    # a class is compared with one pivot, the smallest, of each component that its buckets hold
+    met = rows.join(pivots, "key").select("doc_id", F.explode(F.filter("p", lambda x: x["label"] != F.col("label"))).alias("x"))
+    met = met.groupBy("doc_id", F.col("x.label").alias("label")).agg(F.array(F.min("x.doc_id")).alias("pivots"))
     second = written(possible(stars(met).join(pairs, ["a", "b"], "left_anti")), "pairs")
     if second.limit(1).count():
         pairs = pairs.unionByName(second)

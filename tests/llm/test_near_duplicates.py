@@ -83,6 +83,18 @@ def test_tables_on_the_way_are_deleted(spark, odd) -> None:
     assert cut.release(spark, since) == 1
 
 
+def test_parity_bits_bound_the_difference() -> None:
+    import numpy as np
+    from plumbline.llm import near_dup
+
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 900, 6000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: int(0.8 * n)], rng.integers(0, 2**63, max(1, n // 5)).astype(np.uint64)])
+        differ = sum(int(x).bit_count() for x in (near_dup.parity_bits(a) ^ near_dup.parity_bits(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_nothing(empty) -> None:
     assert near_duplicates(empty).count() == 0
 
