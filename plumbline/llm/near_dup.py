@@ -220,6 +220,18 @@ def _prefix_pairs(inside: DataFrame, texts: DataFrame, bits: DataFrame, width: i
     return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
+def _pivots_met(rows: DataFrame) -> DataFrame:
+    """doc_id, x (doc_id, label): each class with every pivot of another component that its buckets
+    have.  The buckets of a group repeat the same few pivots, so a class gathers them (two for each
+    of its SKETCHES ** 2 buckets at most) before a row is made of each."""
+    one = F.struct("doc_id", "label")
+    pivots = rows.groupBy("key").agg(F.min(one).alias("low"), F.max_by(one, F.xxhash64("doc_id")).alias("high"))
+    other = lambda p: F.when(F.col(f"{p}.label") != F.col("label"), F.col(p))
+    held = rows.join(pivots, "key").groupBy("doc_id").agg(F.collect_set(other("low")).alias("low"), F.collect_set(other("high")).alias("high"))
+    only = F.filter("high", lambda x: ~F.array_contains("low", x))
+    return held.select("doc_id", F.explode(F.concat("low", only)).alias("x"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     since = mark(docs.sparkSession)
@@ -302,11 +314,8 @@ def _by_id(known: DataFrame, sketches: DataFrame, width: int, percent: int) -> D
     labels = components(links)
     rows = written(labelled(members.select("key", "doc_id")), "placed-so-far")
     rows = rows.join(is_open(rows), "key", "left_semi")
-    one = F.struct("doc_id", "label")
-    pivots = rows.groupBy("key").agg(F.array(F.min(one), F.max_by(one, F.xxhash64("doc_id"))).alias("p"))
     # a class is compared with one pivot, the smallest, of each component that its buckets hold
-    met = rows.join(pivots, "key").select("doc_id", F.explode(F.filter("p", lambda x: x["label"] != F.col("label"))).alias("x"))
-    met = met.groupBy("doc_id", F.col("x.label").alias("label")).agg(F.array(F.min("x.doc_id")).alias("pivots"))
+    met = _pivots_met(rows).groupBy("doc_id", F.col("x.label").alias("label")).agg(F.array(F.min("x.doc_id")).alias("pivots"))
     second = written(possible(stars(met).join(pairs, ["a", "b"], "left_anti")), "pairs")
     if second.limit(1).count():
         pairs = pairs.unionByName(second)

@@ -83,6 +83,21 @@ def test_tables_on_the_way_are_deleted(spark, odd) -> None:
     assert cut.release(spark, since) == 1
 
 
+def test_pivots_that_buckets_repeat_are_one_row(spark) -> None:
+    """A group of 30 classes in three components that meets in 60 buckets, all with the same pivots,
+    beside buckets of its own for each pair of neighbours."""
+    from plumbline.llm.near_dup import _pivots_met
+
+    label = lambda d: d // 10 * 10
+    buckets = {k: list(range(30)) for k in range(60)} | {100 + d: [d, d + 1] for d in range(29)}
+    rows = spark.createDataFrame([(k, d, label(d)) for k, b in buckets.items() for d in b], "key long, doc_id long, label long")
+    got = [(r["doc_id"], r["x"]["doc_id"], r["x"]["label"]) for r in _pivots_met(rows).collect()]
+    last = next(r["d"] for r in spark.range(30).selectExpr("max_by(id, xxhash64(id)) d").collect())
+    want = {(d, p, label(p)) for d in range(30) for p in (0, last) if label(p) != label(d)}
+    want |= {pair for d in (9, 19) for pair in ((d, d + 1, d + 1), (d + 1, d, label(d)))}
+    assert sorted(got) == sorted(want)
+
+
 def test_parity_bits_bound_the_difference() -> None:
     import numpy as np
     from plumbline.llm import near_dup
