@@ -95,7 +95,10 @@ class WordEncoder:
         self._newline = self._ids("\n")
         self._marks = {m: int(self._ids(m)[0]) for m in _MARKS if len(self._ids(m)) == 1}
         self._model = Tokenizer(self._tokenizer.model)
-        self._model.pre_tokenizer = pre_tokenizers.Split(_ALPHABET[ord("\n")], "isolated")
+        self._model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_ALPHABET[ord("\n")])
+        tokens = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._bytes_of = np.zeros(max(tokens.values()) + 1, np.int64)  # by id
+        self._bytes_of[list(tokens.values())] = list(map(len, tokens))
         self._known: dict[str, int] = {}  # piece -> its number
         self._chars = 0
         self._ids_held = np.empty(1 << 16, ID_TYPE)  # ids of all pieces, one after the other
@@ -154,7 +157,7 @@ class WordEncoder:
     def _gathered(self, cut: pa.Array, counts: np.ndarray, whole: bool = False) -> list[bytes | None]:
         """Ids of texts whose pieces follow each other; None for one that holds an odd piece."""
         coded = cut.dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())
+        numbers = self._numbers(coded.dictionary.to_pylist() if whole else _strings(coded.dictionary))
         at = numbers[coded.indices.to_numpy(zero_copy_only=False)]
         start, size = self._ends[at], self._ends[at + 1] - self._ends[at]
         upto = np.cumsum(size)
@@ -177,10 +180,12 @@ class WordEncoder:
     def _learn(self, new: list[str]) -> None:
         """Numbers the pieces.  Words of Latin letters are one pre-token, a full stop or comma
         after them another; those go to the library's model straight, all others whole."""
-        plain, known = _PLAIN.fullmatch, self._known
-        alone = [p for p in new if plain(p)]
-        rest = [p for p in new if not plain(p)] if len(alone) < len(new) else []
-        marked = [p for p in rest if p[-1:] in self._marks and plain(p, 0, len(p) - 1)]
+        plain, known = _PLAIN.match, self._known
+        alone, marked, rest = [], [], []
+        for p in new:
+            found = plain(p)
+            left = len(p) - found.end() if found else -1
+            (alone if left == 0 else marked if left == 1 and p[-1] in self._marks else rest).append(p)
         stems = [p[:-1] for p in marked]
         simple = {*alone, *(p for p in stems if p not in known)}
         for some in ([p for p in simple if p.isascii()], [p for p in simple if not p.isascii()]):
@@ -193,7 +198,6 @@ class WordEncoder:
             held = self._ids_held[np.repeat(self._ends[at] - upto + sizes, sizes) + np.arange(upto[-1])]
             held[upto - 1] = [self._marks[p[-1]] for p in marked]
             self._add(marked, held, sizes)
-        rest = [p for p in rest if p not in known]
         bare = [p[1:] if p[:1] == " " else p for p in rest]
         odd = [p for p, w in zip(rest, bare, strict=True) if not w or w[0] in SPACES or w[-1] in SPACES]
         for words in _runs(list(set(rest) - set(odd))):
@@ -220,7 +224,15 @@ class WordEncoder:
             shown = joined.replace(" ", _ALPHABET[32]).replace("\n", _ALPHABET[10])
         else:
             shown = joined.encode().decode("latin-1").translate(_ALPHABET)
-        return self._between(words, np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, ID_TYPE))
+        ids = np.array(self._model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, ID_TYPE)
+        # the lines' ends are no tokens: a word ends where the tokens have as many bytes as the words up to it
+        lines = np.flatnonzero(np.frombuffer(joined.encode(), np.uint8) == 10)
+        ends = np.r_[lines, len(shown)] - np.arange(len(words))
+        upto = np.cumsum(self._bytes_of[ids])
+        at = np.searchsorted(upto, ends)
+        if len(upto) and upto[-1] == ends[-1] and (upto[at] == ends).all():
+            return ids, np.diff(np.r_[-1, at])
+        return self._each(words)
 
     def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of pieces without blanks but for one that leads, as one text of lines."""
@@ -230,7 +242,10 @@ class WordEncoder:
         ends = np.flatnonzero(ids == self._newline[0])
         if words and len(ends) == len(words) - 1:
             return np.delete(ids, ends), np.diff(np.r_[-1, ends, len(ids)]) - 1
-        each = [self._ids(w) for w in words]  # a word holds that id
+        return self._each(words)  # a word holds that id
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self._ids(w) for w in words]
         return np.concatenate([np.empty(0, ID_TYPE), *each]), np.array([len(x) for x in each], np.int64)
 
     def _trim(self) -> None:
@@ -242,6 +257,14 @@ class WordEncoder:
         self._chars = sum(map(len, kept))
 
 
+def _strings(pieces: pa.Array) -> list[str]:
+    """The pieces, none of which holds _MARK; one string that is cut costs less than one for each."""
+    if not len(pieces):
+        return []
+    rows = pa.LargeListArray.from_arrays(pa.array([0, len(pieces)], pa.int64()), pieces)
+    return pc.binary_join(rows, pa.scalar(_MARK, pieces.type))[0].as_py().split(_MARK)
+
+
 def _runs(words: list[str]) -> Iterator[list[str]]:
     """A run at a time: the library keeps some hundred bytes of each id while it encodes."""
     return (words[at : at + LEARNT_AT_ONCE] for at in range(0, len(words), LEARNT_AT_ONCE))

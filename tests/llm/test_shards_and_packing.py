@@ -39,6 +39,25 @@ def test_memo_gives_the_tokenizers_ids(ids_of) -> None:
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t)[:-1] for t in texts]
 
 
+def test_new_words_are_looked_at_once(ids_of, monkeypatch) -> None:
+    """Each word that the memo lacks is matched once, line ends are no tokens of the model's, and the
+    ids are parted at the words all the same."""
+    plain, calls = bpe._PLAIN, Counter()
+
+    class Counted:
+        def __getattr__(self, name: str):
+            return lambda p, *a: calls.update([p]) or getattr(plain, name)(p, *a)
+
+    monkeypatch.setattr(bpe, "_PLAIN", Counted())
+    texts = ["Fußball naïve ÿ Ж жar, a a. b, . ,, aб. été\nthe river.\nstone x1 a.b " + "z" * 3000, "données, été. the,\n\na", "один\x00два three"]
+    encoder = bpe.WordEncoder(bpe.default_path())
+    got = [np.frombuffer(x, bpe.ID_TYPE).tolist() for x in encoder.encode(texts)]
+    assert got == [ids_of(x)[:-1] for x in texts]
+    assert set(calls.values()) == {1}
+    a, b = "a", bpe._ALPHABET[32] + "b"
+    assert [x for x, _ in encoder._model.pre_tokenizer.pre_tokenize_str(a + bpe._ALPHABET[10] + b)] == [a, b]
+
+
 def test_special_tokens_and_other_kinds_of_file() -> None:
     import public_tokenizers
 
