@@ -90,7 +90,7 @@ def layer_violation(ctx: Context) -> DataFrame:
 @rule("Design.BoundaryFrozen", 0, "low", "A file of a boundary that is frozen.", languages=("typescript", "astro", "rust", "html"))
 def boundary_frozen(ctx: Context) -> DataFrame:
     hits = F.array_compact(F.array(*[F.when(paths.matches(F.col("file"), g), said("file is in frozen boundary `{}`{}", F.lit(g), F.lit(f": {why}" if why else ""))) for g, why in ctx.policy.frozen])) if ctx.policy.frozen else F.array().cast("array<string>")
-    return ctx.facts.stored.select("file", whole_file().alias("span"), F.explode(hits).alias("message"))
+    return ctx.facts.listing.select("file", whole_file().alias("span"), F.explode(hits).alias("message"))
 
 
 def _prefixed(prefixes: list[str]) -> Column:
@@ -122,7 +122,7 @@ def scripted_invariant(ctx: Context) -> DataFrame:
     one = F.struct("specifier", "resolved", "type_only", "names")
     imports = facts.imports.groupBy(F.col("from_file").alias("__i")).agg(F.collect_list(one).alias("__imports"))  # one file's imports
     exports = facts.exports.groupBy(F.col("file").alias("__e")).agg(F.collect_list("name").alias("__exports"))
-    files = facts.stored.select("file").join(imports, F.col("file") == F.col("__i"), "left").join(exports, F.col("file") == F.col("__e"), "left").drop("__i", "__e")
+    files = facts.listing.join(imports, F.col("file") == F.col("__i"), "left").join(exports, F.col("file") == F.col("__e"), "left").drop("__i", "__e")
     files = written(files, "files-with-facts")
     wanted: list[str] = []
     asked: list[Column] = []
