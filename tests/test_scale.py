@@ -28,3 +28,15 @@ def test_imports_are_read_without_the_rest(spark) -> None:
     assert [(r.from_file, r.resolved) for r in held.imports.collect()] == [("a.ts", "b.ts")]
     assert held.listing.count() == 3
     assert "stored" not in held.__dict__ and "functions" not in held.modules.columns
+
+
+def test_scopes_end_where_the_sql_rounds_to(spark, tmp_path) -> None:
+    """A half goes to the even number: 2.5 lines are 2, 3.5 are 4."""
+    import duckdb
+    from plumbline import catalog
+
+    duckdb.execute(f"""COPY (SELECT * FROM (VALUES (1, 1, 'view', 0.25, 0), (2, 1, 'click', 1.0, 3), (3, 2, 'view', 0.35, 0), (4, 2, 'click', 1.0, 4)) v(event_id, user_id, event_type, value, m)
+    SELECT event_id, user_id, event_type, value::DOUBLE AS value, TIMESTAMP '2024-01-01' + to_minutes(m) AS ts) TO '{tmp_path}/events.parquet'""".replace("SELECT * FROM (VALUES", "FROM (VALUES", 1))
+    got = sorted(tuple(r[c] for c in ("event_id", "scope", "how")) for r in catalog.QUERIES["enclosing_scope"](spark, str(tmp_path)).collect())
+    want = duckdb.execute(catalog.ORACLES["enclosing_scope"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    assert got == sorted(want) == [(2, None, None), (4, 3, "inside")]
