@@ -40,3 +40,50 @@ def test_scopes_end_where_the_sql_rounds_to(spark, tmp_path) -> None:
     got = sorted(tuple(r[c] for c in ("event_id", "scope", "how")) for r in catalog.QUERIES["enclosing_scope"](spark, str(tmp_path)).collect())
     want = duckdb.execute(catalog.ORACLES["enclosing_scope"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
     assert got == sorted(want) == [(2, None, None), (4, 3, "inside")]
+
+
+def _copies(n: int = 5) -> list[tuple[int, int]]:
+    """``n`` apart copies of a graph with a cycle, ways into and out of it, and a self loop; one is larger."""
+    one = [(1, 2), (2, 3), (3, 1), (0, 1), (3, 4), (4, 5), (6, 6)]
+    return [(100 * k + a, 100 * k + b) for k in range(n) for a, b in one] + [(5, 7), (7, 8), (8, 7)]
+
+
+def test_apart_graphs_are_searched_by_tasks(spark, monkeypatch) -> None:
+    """Beyond the limit, rounds of joins are left to components that are themselves beyond it."""
+    from plumbline.operators import graph
+
+    df = spark.createDataFrame([*_copies(), (None, 1)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (101,), (4,), (999,), (None,)], "id long")
+    want_reach, want_scc = sorted(map(tuple, graph.closure(df, seeds=seeds).collect())), sorted(map(tuple, graph.strong_components(df).collect()))
+    joined, sizes = graph._joined, []
+    monkeypatch.setattr(graph, "_joined", lambda edges, starts, depth: sizes.append(edges.count()) or joined(edges, starts, depth))
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 6)
+    assert sorted(map(tuple, graph.closure(df, seeds=seeds).collect())) == want_reach
+    assert sizes == [9]
+    coloured, left = graph._coloured, []
+    monkeypatch.setattr(graph, "_coloured", lambda edges: left.append(edges.count()) or coloured(edges))
+    assert sorted(map(tuple, graph.strong_components(df, local_edges=6).collect())) == want_scc
+    assert left and max(left) < 9 and {(8, 7), (101, 101), (106, 106)} <= set(want_scc)
+
+
+def test_reached_nodes_keep_one_target(spark) -> None:
+    """Not a row for each target a node reaches."""
+    from plumbline.operators import graph
+
+    df = spark.createDataFrame([(k, k + 1) for k in range(8)], "src long, dst long")
+    ids = spark.range(9)
+    made = graph.written
+    written: list[int] = []
+
+    def counted(rows, name):  # noqa: ANN001, ANN202
+        out = made(rows, name)
+        written.append(out.count())
+        return out
+
+    graph.written = counted
+    try:
+        assert sorted(map(tuple, graph.reaching(df, ids, ids).collect())) == [(k, k) for k in range(9)]
+        assert sorted(map(tuple, graph.reaching(df, ids, spark.range(6, 9)).collect())) == [(k, max(k, 6)) if k > 6 else (k, 6) for k in range(9)]
+    finally:
+        graph.written = made
+    assert max(written) <= 9
