@@ -87,3 +87,45 @@ def test_reached_nodes_keep_one_target(spark) -> None:
     finally:
         graph.written = made
     assert max(written) <= 9
+
+
+def test_nearest_rank_counts_a_narrow_band(spark) -> None:
+    import math
+    import random
+
+    from plumbline.operators import stats
+
+    pick = random.Random(3)
+    for values in ([1.5], [2.0] * 9 + [7.0], [pick.randint(0, 40) * 0.5 for _ in range(700)], [pick.random() for _ in range(3000)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        percents = (1, 50, 95, 100)
+        row = spark.range(1).select(*[stats.nearest_rank(df, "v", p).alias(f"p{p}") for p in percents])
+        assert "percentile_disc" not in row._jdf.queryExecution().toString().lower()
+        assert list(row.first()) == [sorted(values)[math.ceil(len(values) * p / 100) - 1] for p in percents]
+    empty = spark.createDataFrame([(None,)], "v double")
+    assert spark.range(1).select(stats.nearest_rank(empty, "v", 95)).first()[0] is None
+
+
+def test_token_windows_without_a_row_each(spark) -> None:
+    """Copies, repeats within a text, shifted copies and one word over and over."""
+    import random
+
+    from plumbline.operators import windows
+
+    pick = random.Random(7)
+    base = [pick.choice(["a", "b", "ça", "d", "e"]) * pick.randint(1, 3) for _ in range(300)]
+    texts = [" ".join(base), "x y\t" + "\n".join(base[20:200]), " ".join(base[:40]), "w " * 90, " ".join(base[100:] + base[:120]), None, "", " ".join(base)]
+    docs = spark.createDataFrame([(k % 7, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for width in (12, 50):
+        want = windows.repeated_windows(windows.token_windows(docs, width)).collect()
+        got = windows.repeated_token_windows(docs, width).collect()
+        assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_templates_are_tried_by_many_tasks(spark) -> None:
+    from plumbline import rules
+
+    found = rules.run_rule("Design.MissingTestFile", tree.tree(spark, SF))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    files = spark.createDataFrame([(f"a{k}.ts", "x") for k in range(60)], "path string, text string").coalesce(1)
+    assert facts.extract(files).select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
